@@ -23,6 +23,11 @@ def words(text):
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), 0)
 
 
+def let(value, use):
+    """use(value) with the value computed once: an expression named in a lambda is computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _span(n, size: int):
     """0 .. n - size, empty if there is none."""
     return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.expr("cast(array() as array<int>)"))
@@ -30,9 +35,16 @@ def _span(n, size: int):
 
 def fingerprints(w, k: int, window: int):
     """The winnowed fingerprints of an array of words (a column), as distinct longs."""
+
+    def gram(h):
+        return F.transform(_span(F.size(h), k), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
+
+    def low(g):
+        return F.transform(_span(F.size(g), window), lambda i: F.least(*(F.get(g, i + j) for j in range(window))))
+
     h = F.transform(w, lambda x: F.xxhash64(x))
-    grams = F.transform(_span(F.size(w), k), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k)))) if k > 1 else h
-    return grams if window == 1 else F.transform(_span(F.size(w), k + window - 1), lambda i: F.array_min(F.slice(grams, i + 1, window)))
+    grams = let(h, gram) if k > 1 else h
+    return let(grams, low) if window > 1 else grams
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -57,7 +69,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     t = lengths[0] if lengths else window
     k = min(k, t)
     span = t - k + 1
-    wins = items.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda i: F.concat_ws(" ", F.slice(F.col("w"), i + 1, F.col("len"))))).alias("win"))
+    wins = items.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda i: F.concat_ws(" ", F.slice(F.col("w"), i + 1, F.col("len"))))).alias("win"))  # items is a table: w is read, not computed
     wins = materialize(wins.groupBy("win").agg(F.collect_set("item").alias("items")), "windows")
     marks = materialize(items.select(F.explode(fingerprints(F.col("w"), k, span)).alias("fp")).distinct(), "marks")
     # the fingerprints of every text, once
@@ -70,12 +82,17 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     hot = [r[0] for r in counts.where(F.col("count") >= least).select("tk").collect()]  # at most 200
     # candidates, word by word; equal texts once
     text = hot_join(d.select("tk", "text"), cand, "tk", hot=hot).groupBy("tk").agg(F.max("text").alias("text"))
-    w = text.select("tk", words(F.col("text")).alias("w"))
-    spans = F.flatten(F.array(*(F.transform(_span(F.size("w"), n), lambda i, n=n: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.concat_ws(" ", F.slice(F.col("w"), i + 1, n)).alias("win"))) for n in lengths)) if lengths else F.array())
+
+    def spans(w):
+        def of(n):
+            return F.transform(_span(F.size(w), n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.concat_ws(" ", F.slice(w, i + 1, n)).alias("win")))
+
+        return F.flatten(F.array(*map(of, lengths)))
+
     if not lengths:
         res = d.select("tk", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("list")).limit(0)
     else:
-        hits = w.select("tk", F.explode(spans).alias("s")).select("tk", "s.pos", "s.len", "s.win").join(_small(wins), "win")
+        hits = text.select("tk", F.explode(let(words(F.col("text")), spans)).alias("s")).select("tk", "s.pos", "s.len", "s.win").join(_small(wins), "win")
         hits = materialize(hits.select("tk", "pos", "len", "items"), "hits")
         by = Window.partitionBy("tk").orderBy("pos", "len")
         seen = F.max(F.col("pos") + F.col("len")).over(by.rowsBetween(Window.unboundedPreceding, -1))
