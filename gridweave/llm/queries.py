@@ -5,12 +5,20 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from .chat import ORACLE as CHAT_SQL
+from .chat import digests, format_chats, turn_rows
 from .common import table
 from .decontam import ORACLE as DECONTAM_SQL
 from .decontam import contaminated
 from .exact import exact_duplicates
+from .lines import ORACLE as LINES_SQL
+from .lines import line_dedup
 from .neardup import near_duplicates
 from .packing import pack
+from .urls import FETCHED, VALUES, url_filter
+from .urls import ORACLE as URLS_SQL
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -43,7 +51,23 @@ def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-_ALL = [op1_minhash, op5_exact_dedup, op6_decontaminate, op7_packing]
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED).alias("fetched_at"))
+    return url_filter(pages, spark.sql(f"SELECT * FROM VALUES {VALUES} AS e(list, key, action, at)"))
+
+
+def op8_chat_format(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{own}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return digests(format_chats(turn_rows(c.unionByName(more), "conv_id", "turn", "role", "text")))
+
+
+_ALL = [op1_minhash, op3_line_dedup, op4_url_filters, op5_exact_dedup, op6_decontaminate, op7_packing, op8_chat_format]
 
 
 def _shipped(f):
@@ -70,5 +94,8 @@ SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, w.doc_id =
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op3_line_dedup": LINES_SQL,
+    "op4_url_filters": URLS_SQL,
     "op6_decontaminate": DECONTAM_SQL,
+    "op8_chat_format": CHAT_SQL,
 }
