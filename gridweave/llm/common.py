@@ -139,18 +139,19 @@ def pieces(batch: pa.RecordBatch, column: str):
         at = to
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of lower-cased (A-Z) texts.
+def word_hashes(data: np.ndarray, off: np.ndarray, inside: np.ndarray = _SPACE_WORD, prefixes: tuple[int, ...] = ()):
+    """Words `[^\\x20\\x09-\\x0D]+` (or of other bytes, by the table `inside`) of lower-cased (A-Z) texts.
 
-    Returns: 64-bit hash of each word, first word index of each text (len + 1), word starts, word ends.
+    Returns: 64-bit hash of each word, first word index of each text (len + 1), word starts, word ends;
+    if asked, a fifth value: for each length in bytes the hashes of the words' prefixes (0: too short).
     A polynomial hash with random byte values gives all words of a piece in a few array passes.
     """
     n = len(data)
     if not n:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), z, z
+        z, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (h, np.zeros(len(off), np.int64), z, z) + (([h for _ in prefixes],) if prefixes else ())
     low = _LOWER[data]
-    isw = _SPACE_WORD[low]
+    isw = inside[low]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = isw[:-1]
@@ -167,7 +168,14 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     np.cumsum(_BYTE[low] * _powers(_BASE, n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _powers(_INV, n)[starts]
     h = mix(h + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, off), starts, ends
+    out = h, np.searchsorted(starts, off), starts, ends
+    if not prefixes:
+        return out
+    back, size, cut = _powers(_INV, n)[starts], ends - starts, []
+    for k in prefixes:
+        p = mix((sums[np.minimum(starts + k, n)] - sums[starts]) * back + np.uint64(k << 32))
+        cut.append(np.where(size > k, p, np.uint64(0)))
+    return *out, cut
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:

@@ -13,10 +13,12 @@ from .common import table
 from .decontam import ORACLE as DECONTAM_SQL
 from .decontam import contaminated
 from .exact import exact_duplicates
+from .html import extract_text
 from .lines import ORACLE as LINES_SQL
 from .lines import line_dedup
 from .neardup import near_duplicates
 from .packing import pack
+from .toxicity import toxicity
 from .urls import FETCHED, VALUES, url_filter
 from .urls import ORACLE as URLS_SQL
 
@@ -51,6 +53,10 @@ def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op2_html_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents"))
 
@@ -67,7 +73,11 @@ def op8_chat_format(spark, sf_dir):
     return digests(format_chats(turn_rows(c.unionByName(more), "conv_id", "turn", "role", "text")))
 
 
-_ALL = [op1_minhash, op3_line_dedup, op4_url_filters, op5_exact_dedup, op6_decontaminate, op7_packing, op8_chat_format]
+def op10_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ALL = [op1_minhash, op2_html_text, op3_line_dedup, op4_url_filters, op5_exact_dedup, op6_decontaminate, op7_packing, op8_chat_format, op10_toxicity]
 
 
 def _shipped(f):
