@@ -57,7 +57,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted by SHA-256 and 8-byte keys, common ones are summed before the shuffle, and only repeated
     ones are compared byte by byte (two texts of one digest would stop the job).
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    out = _deduped(docs, id_col, text_col, window, mean)
+    return out.select(F.col("id").alias(id_col), "n_lines", "n_removed", F.col("text").alias(text_col))
+
+
+def without_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", window: int = WINDOW, mean: int = MEAN) -> DataFrame:
+    """The documents with all their columns and what is left of their texts (`length_col`, if there, is set anew).
+
+    Documents of which the removal leaves nothing but white space are dropped; others, null and empty ones
+    included, stay.
+    """
+    out = _deduped(docs, id_col, text_col, window, mean)
+    out = out.where(~((F.col("n_removed") > 0) & F.col("text").rlike(r"^\s*$")))
+    value = {text_col: F.col("text"), length_col: F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"row.{length_col}")) if length_col in docs.columns else None}
+    return out.select(*(value[c].alias(c) if c in value else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, window: int, mean: int) -> DataFrame:
+    """(id, text, n_lines, n_removed, row: the other columns)."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*others).alias("row"))
     d = d.withColumn("rid", F.xxhash64("id", "text"))
     some = d.where("text is not null")
     cut = some.select("id", "rid", F.posexplode(_chunks(F.col("text"), window, mean)).alias("no", "c")).where("c.n > 1")
@@ -77,7 +96,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = let(_chunks(F.col("text"), window, mean), lambda c: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.col("gone")), lambda i: F.get(c, i)["chunk"]), "\n"))
     zero = F.lit(0).cast("long")
     return out.select(
-        F.col("id").alias(id_col),
+        "id",
+        "row",
         F.when(F.col("text").isNull(), zero).otherwise(F.length(F.col("text")) - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce("n_removed", zero).alias("n_removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),

@@ -13,9 +13,10 @@ from .common import table
 from .decontam import ORACLE as DECONTAM_SQL
 from .decontam import contaminated
 from .exact import exact_duplicates
-from .html import extract_text
+from .webtext import extract_text
 from .lines import ORACLE as LINES_SQL
 from .lines import line_dedup
+from .lm import lm_scores
 from .neardup import near_duplicates
 from .packing import pack
 from .toxicity import toxicity
@@ -73,11 +74,15 @@ def op8_chat_format(spark, sf_dir):
     return digests(format_chats(turn_rows(c.unionByName(more), "conv_id", "turn", "role", "text")))
 
 
+def op9_lm_scores(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_ALL = [op1_minhash, op2_html_text, op3_line_dedup, op4_url_filters, op5_exact_dedup, op6_decontaminate, op7_packing, op8_chat_format, op10_toxicity]
+_ALL = [op1_minhash, op2_html_text, op3_line_dedup, op4_url_filters, op5_exact_dedup, op6_decontaminate, op7_packing, op8_chat_format, op9_lm_scores, op10_toxicity]
 
 
 def _shipped(f):
