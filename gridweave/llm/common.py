@@ -74,14 +74,14 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", ho
     """Equi-join on `key` where `right` has one row a key and `left` may have hot keys.
 
     The few hot keys' rows of `right` (at most 1 / HOT_SHARE, one each) are broadcast; the others
-    meet by a shuffle.
+    meet by a shuffle at every size, as `right` grows with the data.
     """
     hot = hot_keys(left, key) if hot is None else hot
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right.hint("merge"), key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     a = left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how)
-    b = left.where(~is_hot).join(right.where(~is_hot), key, how)
+    b = left.where(~is_hot).join(right.where(~is_hot).hint("merge"), key, how)
     return a.unionByName(b)
 
 
