@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tensor import Tensor, det, trace
 from .vector import Vec
@@ -80,9 +81,7 @@ def _matrix(batch: pa.RecordBatch, cols: list[str], n: int) -> np.ndarray:
 
 
 def _with(df: DataFrame, cols: list[str], make, names: list[str]) -> DataFrame:
-    schema = df.schema
-    for n in names:
-        schema = schema.add(n, "double")
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches):
         for b in batches:

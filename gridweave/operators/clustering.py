@@ -57,10 +57,19 @@ def close_pairs(points: DataFrame, axes: tuple[str, ...], reach: float, box: flo
     return home.join(near, "c").where((F.col("p") < F.col("q")) & (dd <= reach * reach)).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
 
+def positions(df: DataFrame, *keys: str) -> DataFrame:
+    """Adds pos, the rank of each row by `keys` from 0: a range partitioning, and one offset a partition."""
+    d = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()))
+    d = d.withColumn("_p", F.shiftright("_m", 33))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offset = d.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))  # a row a partition
+    return d.join(F.broadcast(offset), "_p").withColumn("pos", (F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_p", "_m", "_o")
+
+
 def compact(labelled: DataFrame, key: str, least: int = 1) -> DataFrame:
-    """Replaces the labels in `key` by 0, 1 .. in order; groups of fewer than `least` rows get -1. Only the groups are ranked."""
+    """Replaces the labels in `key` by 0, 1 .. in order; groups of fewer than `least` rows get -1."""
     sizes = labelled.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    rank = sizes.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("label"))
+    rank = positions(sizes.select(key), key).withColumnRenamed("pos", "label")
     return labelled.join(rank, key, "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long"))).drop(key)
 
 

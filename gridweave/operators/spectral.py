@@ -78,7 +78,7 @@ def power(df: DataFrame, grid: Grid, cols: tuple[str, ...], snap: str = "snap")
 
 def mixed_power(df: DataFrame, grid: Grid, a: tuple[str, ...], b: tuple[str, ...], snap: str = "snap") -> DataFrame:
     """|sum a conj(b)| and its real part at every wavenumber."""
-    t = transform(df, grid, (*a, *b), snap=snap)
+    t = transform(df, grid, tuple(dict.fromkeys((*a, *b))), snap=snap)
     re = reduce(add, (F.col(f"{x}_re") * F.col(f"{y}_re") + F.col(f"{x}_im") * F.col(f"{y}_im") for x, y in zip(a, b, strict=True)))
     im = reduce(add, (F.col(f"{x}_im") * F.col(f"{y}_re") - F.col(f"{x}_re") * F.col(f"{y}_im") for x, y in zip(a, b, strict=True)))
     return t.select(snap, *(wavenumber(grid, i).alias(f"k{x}") for i, x in enumerate(grid.axes)), F.sqrt(re * re + im * im).alias("p"), re.alias("p_re"))

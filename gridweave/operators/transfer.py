@@ -44,10 +44,11 @@ def advection_transfer(df: DataFrame, grid: Grid, carrier: tuple[str, ...], fiel
     parts = shells_of(df, grid, field, edges, snap)
     grads = gradient_tensor(parts, grid, field, (snap, "shell"), stencil, field, "_t")
     u = divergence(df, grid, carrier, (snap,), stencil, carrier, "_div")
+    u = u.select(snap, *grid.axes, "_div", *(F.col(c).alias(f"_u{j}") for j, c in enumerate(carrier)))
     q = grads.join(u, [snap, *grid.axes])
     q = q.select(
         snap, *grid.axes, F.col("shell").alias("q"), *(F.col(f).alias(f"_q{i}") for i, f in enumerate(field)), "_div",
-        *(reduce(add, (F.col(c) * F.col(f"_t{i}{j}") for j, c in enumerate(carrier))).alias(f"_a{i}") for i in range(len(field))),
+        *(reduce(add, (F.col(f"_u{j}") * F.col(f"_t{i}{j}") for j in range(len(carrier)))).alias(f"_a{i}") for i in range(len(field))),
     )
     k = parts.select(snap, *grid.axes, F.col("shell").alias("k"), *(F.col(f).alias(f"_k{i}") for i, f in enumerate(field)))
     both = k.join(q, [snap, *grid.axes])
