@@ -37,7 +37,7 @@ def query(sql: str | None = None):
     return add
 
 
-PART = "p AS (SELECT l_orderkey, l_linenumber, l_quantity * 0.1::DOUBLE AS ax, l_discount * 10.0::DOUBLE AS ay, l_tax * 10.0::DOUBLE AS az, l_extendedprice * 1e-4::DOUBLE AS bx, l_quantity * 0.05::DOUBLE AS bw, l_discount - l_tax AS bz FROM lineitem)"
+PART = "p AS (SELECT l_orderkey, l_linenumber, l_quantity * 0.1037129::DOUBLE AS ax, l_discount * 10.1317371::DOUBLE AS ay, l_tax * 9.8713913::DOUBLE AS az, l_extendedprice * 1.0373717e-4::DOUBLE AS bx, l_quantity * 0.0519737::DOUBLE AS bw, (l_discount - l_tax) * 1.0171331::DOUBLE AS bz FROM lineitem)"
 EMB = "e AS (SELECT vec_id AS snap, i // 16 AS x, (i // 4) % 4 AS y, i % 4 AS z, embedding[i + 1]::DOUBLE AS f FROM embeddings, range(64) t(i))"
 EMBV = EMB + ", v AS (SELECT snap // 3 AS snap, x, y, z, max(f) FILTER (snap % 3 = 0) AS vx, max(f) FILTER (snap % 3 = 1) AS vy, max(f) FILTER (snap % 3 = 2) AS vz FROM e GROUP BY ALL HAVING count(*) = 3)"
 EMBV = EMBV.replace("SELECT snap // 3 AS snap, x, y, z, max(f) FILTER (snap % 3 = 0)", "SELECT g AS snap, x, y, z, max(f) FILTER (c = 0)").replace("max(f) FILTER (snap % 3 = 1)", "max(f) FILTER (c = 1)").replace("max(f) FILTER (snap % 3 = 2)", "max(f) FILTER (c = 2)").replace("FROM e GROUP BY ALL HAVING", "FROM (SELECT snap // 3 AS g, snap % 3 AS c, x, y, z, f FROM e) GROUP BY g, x, y, z HAVING")
