@@ -64,8 +64,8 @@ def anisotropy(values: Vec) -> Column:
     return F.abs(values[0] - values[-1]) / F.when(F.abs(tr) <= EPS, EPS).otherwise(tr)
 
 
-def positive_definite(values: Vec) -> Column:
-    return F.least(*values) > 0
+def positive_definite(values: Vec, eps: float = 0.0) -> Column:
+    return F.least(*values) > eps
 
 
 def complex_analysis(re: Vec, im: Vec, eps: float = EPS):

@@ -37,7 +37,7 @@ def query(sql: str | None = None):
     return add
 
 
-PART = "p AS (SELECT l_orderkey, l_linenumber, l_quantity * 0.1037129::DOUBLE AS ax, l_discount * 10.1317371::DOUBLE AS ay, l_tax * 9.8713913::DOUBLE AS az, l_extendedprice * 1.0373717e-4::DOUBLE AS bx, l_quantity * 0.0519737::DOUBLE AS bw, (l_discount - l_tax) * 1.0171331::DOUBLE AS bz FROM lineitem)"
+PART = "p AS (SELECT l_orderkey, l_linenumber, l_quantity * 0.103712937::DOUBLE AS ax, l_discount * 10.1317371::DOUBLE AS ay, l_tax * 9.8713913::DOUBLE AS az, l_extendedprice * 1.0373717e-4::DOUBLE AS bx, l_quantity * 0.051973719::DOUBLE AS bw, (l_discount - l_tax) * 1.0171331::DOUBLE AS bz FROM lineitem)"
 EMB = "e AS (SELECT vec_id AS snap, i // 16 AS x, (i // 4) % 4 AS y, i % 4 AS z, embedding[i + 1]::DOUBLE AS f FROM embeddings, range(64) t(i))"
 EMBV = EMB + ", v AS (SELECT snap // 3 AS snap, x, y, z, max(f) FILTER (snap % 3 = 0) AS vx, max(f) FILTER (snap % 3 = 1) AS vy, max(f) FILTER (snap % 3 = 2) AS vz FROM e GROUP BY ALL HAVING count(*) = 3)"
 EMBV = EMBV.replace("SELECT snap // 3 AS snap, x, y, z, max(f) FILTER (snap % 3 = 0)", "SELECT g AS snap, x, y, z, max(f) FILTER (c = 0)").replace("max(f) FILTER (snap % 3 = 1)", "max(f) FILTER (c = 1)").replace("max(f) FILTER (snap % 3 = 2)", "max(f) FILTER (c = 2)").replace("FROM e GROUP BY ALL HAVING", "FROM (SELECT snap // 3 AS g, snap % 3 AS c, x, y, z, f FROM e) GROUP BY g, x, y, z HAVING")
@@ -115,7 +115,7 @@ x AS (SELECT *, a*a + b*b + c*c - a*b - a*c - b*c + 3*(d*d + f*f + e*e) AS x1,
  -(2*a-b-c)*(2*b-a-c)*(2*c-a-b) + 9*((2*c-a-b)*d*d + (2*b-a-c)*f*f + (2*a-b-c)*e*e) - 54*d*e*f AS x2 FROM m),
 y AS (SELECT *, atan2(sqrt(greatest(0, 4*x1*x1*x1 - x2*x2)), x2) AS phi FROM x),
 z AS (SELECT *, list_reverse_sort([(a+b+c - 2*sqrt(x1)*cos(phi/3))/3, (a+b+c + 2*sqrt(x1)*cos((phi-pi())/3))/3, (a+b+c + 2*sqrt(x1)*cos((phi+pi())/3))/3]) AS l FROM y)
-SELECT l_orderkey, l_linenumber, round(l[1], 5) + 0.0 AS l0, round(l[2], 5) + 0.0 AS l1, round(l[3], 5) + 0.0 AS l2, CASE WHEN l[3] > 0 THEN 1 ELSE 0 END AS pos,
+SELECT l_orderkey, l_linenumber, round(l[1], 5) + 0.0 AS l0, round(l[2], 5) + 0.0 AS l1, round(l[3], 5) + 0.0 AS l2, CASE WHEN l[3] > 1e-7 THEN 1 ELSE 0 END AS pos,
  round(abs(l[1] - l[3]) / CASE WHEN abs(l[1] + l[2] + l[3]) <= 1e-10 THEN 1e-10 ELSE l[1] + l[2] + l[3] END, 5) + 0.0 AS aniso FROM z"""
 
 
@@ -125,7 +125,7 @@ def eig_symmetric_3(spark, sf_dir):
     p = part(spark, sf_dir)
     p = p.select("l_orderkey", "l_linenumber", F.array(*eigen.symmetric(_sym(vec(*A), vec(*B)))).alias("l"))
     l = tuple(F.get("l", F.lit(i)) for i in range(3))
-    return p.select("l_orderkey", "l_linenumber", *(r(x, f"l{i}", 5) for i, x in enumerate(l)), eigen.positive_definite(l).cast("int").alias("pos"), r(eigen.anisotropy(l), "aniso", 5))
+    return p.select("l_orderkey", "l_linenumber", *(r(x, f"l{i}", 5) for i, x in enumerate(l)), eigen.positive_definite(l, 1e-7).cast("int").alias("pos"), r(eigen.anisotropy(l), "aniso", 5))
 
 
 @query()

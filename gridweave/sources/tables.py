@@ -47,8 +47,8 @@ def part(spark, sf_dir) -> DataFrame:
     """Every line item as a particle with two vectors, a and b. The scales keep products off decimal rounding ties."""
     c = lambda n, s, a: (F.col(n).cast("double") * s).alias(a)
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", c("l_quantity", 0.1037129, "ax"), c("l_discount", 10.1317371, "ay"), c("l_tax", 9.8713913, "az"),
-        c("l_extendedprice", 1.0373717e-4, "bx"), c("l_quantity", 0.0519737, "bw"), ((F.col("l_discount") - F.col("l_tax")) * 1.0171331).alias("bz"),
+        "l_orderkey", "l_linenumber", c("l_quantity", 0.103712937, "ax"), c("l_discount", 10.1317371, "ay"), c("l_tax", 9.8713913, "az"),
+        c("l_extendedprice", 1.0373717e-4, "bx"), c("l_quantity", 0.051973719, "bw"), ((F.col("l_discount") - F.col("l_tax")) * 1.0171331).alias("bz"),
     )
 
 
