@@ -134,7 +134,7 @@ def _packer(path: str, window: int, most: int, end_id: int):
         u = [x[0] for x in found]
         cols = list(zip(*u, strict=True)) if u else [[]] * 5
         return pa.RecordBatch.from_arrays(
-            [*(pa.array(list(c), pa.int64()) for c in cols), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([is_open] * len(u))],
+            [*(pa.array(list(c), pa.int64()) for c in cols), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([is_open] * len(u), pa.bool_())],
             names=["id", "start", "length", "crc", "doc_tokens", "seq", "offset", "open"],
         )
 
