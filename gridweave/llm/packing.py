@@ -22,7 +22,7 @@ from .common import materialize
 
 WINDOW, OPEN, END_ID = 4096, 64, 2
 MERGE_UNITS = 8192
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 #: Texts with other characters than these go through the tokenizer whole: there normalising and
 #: lower-casing may depend on neighbours; "<|" may begin a special token.
 _HARD = re.compile("[\x1c-\x1fɐ-\U0010ffff]|<\\|")
