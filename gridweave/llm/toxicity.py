@@ -175,7 +175,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Only the text enters the score; null and empty texts get the score of a text without terms. Null ids
     are scored, never learned from, and count as not held out. Rows that repeat id or text get equal
     scores. Labels other than 0 and 1 are ignored, repeated ones count as 1 if any is; without labels
-    of both classes all texts get the smoothed share of 1. Other columns are ignored; an empty table
+    of both classes all texts get the smoothed share of 1; in learning, labelled copies with equal terms
+    count once. Other columns are ignored; an empty table
     gives no rows.
     """
     m = fit_toxicity(docs, labels, id_col, text_col, label_col, sample_rows)
