@@ -164,7 +164,7 @@ def read_npz(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFram
 
 def read_spectrum(spark: SparkSession, path: str, header: int = 6) -> DataFrame:
     """A solver's spectrum table: white-space separated numbers after some header lines -> file, line, values."""
-    d = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     d = d.where((F.col("line") >= header) & (F.trim("text") != ""))
     return d.select("file", (F.col("line") - header).alias("line"), F.transform(F.split(F.trim("text"), r"\s+"), lambda x: x.cast("double")).alias("values"))
 
