@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridweave.llm.common import materialize, table
 from gridweave.llm.decontam import contaminated
-from gridweave.llm.lines import without_repeated_chunks
+from gridweave.llm.lines import without_repeated_runs
 from gridweave.llm.neardup import near_duplicates
 from gridweave.llm.packing import pack
 from gridweave.llm.queries import ship, tokenizer_file
@@ -20,8 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the multi-line chunks that stand in an earlier document; emptied documents go."""
-    return without_repeated_chunks(docs)
+    """Texts without the runs of lines and the long lines that stand earlier in the corpus; emptied documents go."""
+    return without_repeated_runs(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 from gridweave.llm import chat, webtext
 from gridweave.llm.exact import exact_duplicates, rice_decode, rice_encode
-from gridweave.llm.lines import line_dedup, without_repeated_chunks
+from gridweave.llm.lines import line_dedup, without_repeated_chunks, without_repeated_runs
 from gridweave.llm.lm import lm_scores
 from gridweave.llm.neardup import near_duplicates
 from gridweave.llm.packing import pack
@@ -74,6 +74,30 @@ def test_lines(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {0, 50, 51, 53}
 
 
+def test_repeated_runs_in_foreign_surroundings(spark):
+    """Planted passages of 1, 2, 3 and 5 lines go from all copies but the first, and nothing else goes."""
+    own = iter(range(10**6))
+    alone = lambda n: [f"own line {next(own)}" for _ in range(n)]
+    plant = {k: [f"passage {k} line {j} " + " ".join(f"w{k}x{j}y{t}" for t in range(60 if k == 1 else 12)) for j in range(k)] for k in (1, 2, 3, 5)}
+    want, rows = {}, []
+    for i in range(48):
+        k, before, after = (1, 2, 3, 5)[i % 4], alone(1 + i % 6), alone(1 + i // 4 % 5)
+        rows.append((i, "\n".join(before + plant[k] + after)))
+        want[i] = "\n".join(before + (plant[k] if i < 4 else []) + after)
+    rows += [(100, "short"), (101, "x\n\n\ny"), (102, "z\n\n\nt\nshort\nq"), (103, None), (104, "r\nr\nr\nr"), (105, "\n".join(plant[1]))]
+    want |= {100: "short", 101: "x\n\n\ny", 102: "z\n\n\nt\nshort\nq", 103: None, 104: "r"}
+    got = without_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
+def test_pipeline_removes_repeated_runs(spark):
+    import corpus_pipeline
+
+    p = " ".join(f"word{i}" for i in range(60))
+    d = spark.createDataFrame([(1, f"a\n{p}\nb", 1), (2, f"c\n{p}\nd", 1)], "doc_id long, text string, n_chars int")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, d, "").collect()} == {1: f"a\n{p}\nb", 2: "c\nd"}
+
+
 def test_pack(spark, docs):
     got = pack(docs, tokenizer_file()).toPandas()
     assert (got.groupby("sequence_id").length.sum() <= 4096).all()
