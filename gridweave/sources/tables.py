@@ -53,5 +53,6 @@ def part(spark, sf_dir) -> DataFrame:
 
 
 def points(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 500")
+    """The first three entries of every vector as a point."""
+    e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("pid"), *(F.get("embedding", F.lit(i)).cast("double").alias(a) for i, a in enumerate("xyz")))

@@ -99,6 +99,25 @@ def test_friends_and_components_against_brute_force(spark):
         assert got == {i: rank[r] for i, r in enumerate(root)}
 
 
+def test_friends_of_friends_queries_take_every_vector(spark, tmp_path):
+    from gridweave.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(4)
+    p = rng.random((90, 3)).astype(np.float32) / 5
+    ids = [int(i) for i in rng.permutation(900)[:90]]
+    spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, p, strict=True)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    p = p.astype(float)
+    for name, reach, least in (("friends_of_friends", 0.03, 1), ("friends_of_friends_min3", 0.05, 3)):
+        root = {i: i for i in ids}
+        for _ in ids:
+            for i, j in itertools.combinations(range(len(ids)), 2):
+                if ((p[i] - p[j]) ** 2).sum() <= reach**2:
+                    root[ids[i]] = root[ids[j]] = min(root[ids[i]], root[ids[j]])
+        roots = list(root.values())
+        rank = {r: k for k, r in enumerate(r for r in sorted(set(roots)) if roots.count(r) >= least)}
+        assert {r.pid: r.label for r in QUERIES[name](spark, str(tmp_path)).collect()} == {i: rank.get(r, -1) for i, r in root.items()}
+
+
 def test_opening_removes_a_bridge(spark):
     g = Grid((12, 12), 1.0, "neumann")
     cells = [(x, y) for x in range(2, 5) for y in range(2, 5)] + [(x, 3) for x in range(5, 8)] + [(x, y) for x in range(8, 11) for y in range(2, 5)]
