@@ -136,6 +136,18 @@ def test_web(spark):
     assert got == {1: "one & only", 2: "two", 3: f"three\n{foot}", 4: "", 5: f"T\na b\nc\n{foot}"}
 
 
+def test_web_keeps_copies_and_shared_passages(spark):
+    ship(spark)
+    foot, quote = "all rights are kept by the owner of this site here", "a passage of ten words that two pages share whole"
+    page = lambda *x: "<body>" + "".join(f"<p>{t}</p>" for t in (*x, foot)) + "</body>"
+    text = "the main text of a page that was captured two times"
+    rows = [(1, "http://c.example/1", page(text)), (2, "http://c.example/2", page(text)), (3, None, page(text)), (4, None, page(text))]
+    rows += [(10 + i, f"http://q.example/{i}", page(f"page {i}", *[quote] * (i < 2))) for i in range(5)] + [(20, "http://q.example/0b", page("page 0", quote))]
+    got = {r.page_id: r.text for r in webtext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"{text}\n{foot}" for i in (1, 2, 3, 4)} | {10 + i: f"page {i}" + f"\n{quote}" * (i < 2) for i in range(5)}
+    assert got == want | {20: f"page 0\n{quote}"}
+
+
 def test_urls(spark):
     e = spark.sql("SELECT * FROM VALUES ('s', 'bad.example', 'add', timestamp'2024-01-10'), ('s', 'bad.example', 'remove', timestamp'2024-02-10'), ('s', 'ok.example/x', 'add', timestamp'2024-01-01'), ('s', null, 'add', null) AS e(list, key, action, at)")
     c = spark.sql("SELECT * FROM VALUES (1, 'http://a.bad.example/q', timestamp'2024-01-09'), (2, 'http://a.bad.example:80/q', timestamp'2024-01-10'), (3, 'http://bad.example', timestamp'2024-02-10'), (4, 'http://ok.example/x/y?z', timestamp'2024-03-01'), (5, 'http://ok.example/xy', timestamp'2024-03-01'), (6, null, timestamp'2024-03-01'), (7, 'nothing', null) AS c(page_id, url, fetched_at)")
