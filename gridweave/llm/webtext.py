@@ -3,7 +3,7 @@
 Pages are cut into blocks in page order, each in one of three zones: inside the article (and nothing
 like a menu, advert or form in it), chrome (menus, headers, footers ...), or open (neither). A page
 with an article gives its article blocks. On pages without one the open blocks are candidates: the
-token streams of a host's pages are compared by their suffixes, suffixes that agree in `depth` tokens and
+token streams of the open blocks of all of a host's pages, with an article or without, are compared by their suffixes, suffixes that agree in `depth` tokens and
 stand on most of the host's distinct pages (copies count once) mark boilerplate, and blocks keep the other runs.
 
 Only whether two suffixes agree in `depth` tokens matters, so the suffix array is needed to that depth:
@@ -144,7 +144,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
 
 def _cutter(batches):
-    """(id, url, h, html) -> article text, or the open blocks where there is no article."""
+    """(id, url, h, html) -> article text (empty: no article) and the open blocks."""
     for b in batches:
         for at in range(0, b.num_rows, BATCH_ROWS):
             p = b.slice(at, BATCH_ROWS)
@@ -153,7 +153,7 @@ def _cutter(batches):
                 found = blocks(page) if page else []
                 main = [t for z, t in found if z == 1]
                 text.append("\n".join(main))
-                rest.append([] if main else [t for z, t in found if z == 0])
+                rest.append([t for z, t in found if z == 0])
             yield pa.RecordBatch.from_arrays([p.column("id"), p.column("url"), p.column("h"), pa.array(text, pa.string()), pa.array(rest, pa.list_(pa.string()))], names=["id", "url", "h", "text", "rest"])
 
 
@@ -187,24 +187,27 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
     joined by newlines in page order. On pages with an article (article, main, or a class that says
     so) it is kept whole, except for chrome in it; on others, runs of `depth` tokens or more that
-    stand on two or more, and on over half, of the host's pages of distinct blocks are removed. Null or empty html, or nothing but chrome: an
+    stand on two or more, and on over half, of the host's pages of distinct blocks are removed (what stands in
+    articles or chrome does not count, nor do pages of nothing else). Null or empty html, or nothing but chrome: an
     empty text. A null URL is a host of its own (no name). Rows that repeat a page (id, URL and
     html) are one page and get the same text. Other columns are ignored; an empty table gives no rows.
     """
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("h"), F.col(html_col).alias("html"))
     kind = dict(p.dtypes)["id"]
     cut = materialize(p.mapInArrow(_cutter, f"id {kind}, url string, h string, text string, rest array<string>"), "blocks")
-    open_pages = cut.where(F.size("rest") > 0)
-    if not open_pages.isEmpty():
-        open_pages = open_pages.withColumn("h", F.coalesce("h", F.lit("\0"))).withColumn("k", F.xxhash64("h", "rest"))
-        o = open_pages.select("h", "k", F.split(F.array_join("rest", " "), " ").alias("w")).distinct()
+    bare = (F.col("text") == "") & (F.size("rest") > 0)
+    if not cut.where(bare).isEmpty():
+        every = cut.where(F.size("rest") > 0).withColumn("h", F.coalesce("h", F.lit("\0"))).withColumn("k", F.xxhash64("h", "text", "rest"))
+        open_pages = every.where(bare)
+        every = hot_join(every, open_pages.select("h").distinct(), "h")  # other hosts have nothing to remove
+        o = every.select("h", "k", bare.alias("bare"), F.split(F.array_join("rest", " "), " ").alias("w")).distinct()
         runs = F.transform(F.when(F.size("w") >= depth, F.sequence(F.lit(0), F.size("w") - depth)).otherwise(F.array().cast("array<int>")), lambda i: F.sha2(F.array_join(F.slice("w", i + 1, depth), " ").cast("binary"), 256))
-        s = materialize(o.select("h", "k", F.posexplode(runs).alias("at", "run")).select("h", "k", "at", F.md5(F.concat_ws(" ", "h", "run").cast("binary")).alias("key")), "suffixes")
-        sizes = open_pages.select("h", "k").distinct().groupBy("h").agg(F.count("*").alias("n"))
+        s = materialize(o.select("h", "k", "bare", F.posexplode(runs).alias("at", "run")).select("h", "k", "bare", "at", F.md5(F.concat_ws(" ", "h", "run").cast("binary")).alias("key")), "suffixes")
+        sizes = every.select("h", "k").distinct().groupBy("h").agg(F.count("*").alias("n"))
         common = s.select("h", "key", "k").distinct().groupBy("h", "key").agg(F.count("*").alias("on")).where("on > 1")
         common = hot_join(common, sizes, "h").where("2 * on > n").select("key")
-        gone = hot_join(s, common, "key").groupBy("k").agg(F.collect_set("at").alias("gone"))
+        gone = hot_join(s.where("bare"), common, "key").groupBy("k").agg(F.collect_set("at").alias("gone"))
         rest = hot_join(open_pages, gone, "k", "left").select("id", "url", "text", "rest", "gone")
-        closed = cut.where(F.size("rest") == 0).select("id", "url", "text")
+        closed = cut.where(~bare).select("id", "url", "text")
         cut = closed.unionByName(rest.mapInArrow(_cleaner(depth), f"id {kind}, url string, text string"))
     return cut.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -148,6 +148,15 @@ def test_web_keeps_copies_and_shared_passages(spark):
     assert got == want | {20: f"page 0\n{quote}"}
 
 
+def test_web_learns_boilerplate_from_pages_with_an_article(spark):
+    ship(spark)
+    foot = "all rights are kept by the owner of this site here"
+    rows = [(i, f"http://a.example/{i}", f"<body><article><p>article {i}</p></article><div>{foot}</div></body>") for i in range(3)]
+    rows += [(3, "http://a.example/3", f"<body><p>bare</p><div>{foot}</div></body>"), (4, "http://b.example/4", f"<body><p>bare</p><div>{foot}</div></body>")]
+    got = {r.page_id: r.text for r in webtext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "article 0", 1: "article 1", 2: "article 2", 3: "bare", 4: f"bare\n{foot}"}
+
+
 def test_urls(spark):
     e = spark.sql("SELECT * FROM VALUES ('s', 'bad.example', 'add', timestamp'2024-01-10'), ('s', 'bad.example', 'remove', timestamp'2024-02-10'), ('s', 'ok.example/x', 'add', timestamp'2024-01-01'), ('s', null, 'add', null) AS e(list, key, action, at)")
     c = spark.sql("SELECT * FROM VALUES (1, 'http://a.bad.example/q', timestamp'2024-01-09'), (2, 'http://a.bad.example:80/q', timestamp'2024-01-10'), (3, 'http://bad.example', timestamp'2024-02-10'), (4, 'http://ok.example/x/y?z', timestamp'2024-03-01'), (5, 'http://ok.example/xy', timestamp'2024-03-01'), (6, null, timestamp'2024-03-01'), (7, 'nothing', null) AS c(page_id, url, fetched_at)")
