@@ -1,4 +1,4 @@
-"""Main-text extraction from web pages, with a suffix array per host for boilerplate.
+"""Main-text extraction from web pages; a host's boilerplate is found by fixed-depth suffix hashes.
 
 Pages are cut into blocks in page order, each in one of three zones: inside the article (and nothing
 like a menu, advert or form in it), chrome (menus, headers, footers ...), or open (neither). A page
@@ -6,7 +6,7 @@ with an article gives its article blocks. On pages without one the open blocks a
 token streams of the open blocks of all of a host's pages, with an article or without, are compared by their suffixes, suffixes that agree in `depth` tokens and
 stand on most of the host's distinct pages (copies count once) mark boilerplate, and blocks keep the other runs.
 
-Only whether two suffixes agree in `depth` tokens matters, so the suffix array is needed to that depth:
+Only whether two suffixes agree in `depth` tokens matters, so instead of a sorted suffix array
 suffixes are keyed by (host, hash of `depth` tokens) and equal keys meet in a shuffle. So no host's
 pages have to meet in one task, and common runs are summed before the shuffle.
 """
