@@ -298,6 +298,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     n, v = int(total[0] or 0), int(total[1])
     rank = counts.orderBy(F.desc("c"), "h")
     most = [(r.h, r.c, r.cls) for r in rank.limit(max(top, WORDS + 1)).collect()]  # bounded by `top`
+    end = int(END.view(np.int64))
+    if all(h != end for h, _, _ in most):  # every text ends with it, so its count is always held
+        most += [(r.h, r.c, r.cls) for r in counts.where(F.col("h") == end).collect()]
     classes = {r.cls: [int(r.n), int(r.v)] for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}  # CLASSES rows
     own = [x for x in most if np.int64(x[0]).view(np.uint64) != END][:WORDS] + [x for x in most if np.int64(x[0]).view(np.uint64) == END]
     for _, c, k in own:

@@ -178,6 +178,16 @@ def test_lm(spark, docs):
     assert lm_scores(docs.limit(0)).count() == 0
 
 
+def test_lm_holds_the_count_of_the_end(spark):
+    import math
+
+    d = spark.createDataFrame([(2, " ".join(f"w{i}" for i in range(300)) + " " + " ".join(f"w{i}" for i in range(300)))], "doc_id long, text string")
+    assert zlib.crc32(b"2") % 5 != 1
+    got = lm_scores(d, top=1).first()
+    assert got.n_known == got.n_tokens == 601
+    assert got.base_score == pytest.approx(600 * math.log10(2.5 / 752) + math.log10(1.5 / 752))
+
+
 def test_toxicity(spark, docs):
     ship(spark)
     name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))  # noqa: E731  copies would count once
