@@ -1,11 +1,13 @@
 """Language-model scoring with a log-bilinear neural model, trained in numpy by noise-contrastive estimation.
 
 The model predicts a token's class: one of the most frequent words, the end of the text, or one of a fixed
-number of spelling classes (by a word's last bytes) that share all other words. The prediction is
-bilinear in the context and the class: a vector for each of the last two tokens and the mean of a third vector
-over all tokens so far, times the class's vector, plus a bias. NCE trains it; for scores a
-batched matrix product gives all classes' logits and so exactly normalised probabilities. Within a
-spelling class words have smoothed relative frequencies, so the probabilities of all words, seen or
+number of spelling classes (by a word's last bytes) that share all other words. Within a spelling class it
+predicts the member: every word that training has seen MIN_COUNT times has vectors of its own, so their number grows
+with the input, and one more member stands for the class's rare words. Both predictions are
+bilinear in the context and the output: a vector for each of the last two tokens and the mean of a third vector
+over all tokens so far, times the output's vector, plus a bias. NCE trains them; for scores
+batched matrix products give the logits of all classes and of all members of the token's class and so exactly normalised
+probabilities. Among a class's rare words smoothed relative frequencies count, so the probabilities of all words, seen or
 not, sum to one.
 
 Counts cover all training tokens. The vectors start from a bounded sample of documents and are then
@@ -28,11 +30,15 @@ WORDS, CLASSES, DIM = 255, 128, 24
 TOP = 1 << 17
 #: Documents (those of the smallest hash of the id) from which the vectors start, and passes over them.
 START_DOCS, START_EPOCHS = 2_000, 3
+#: Every word that training has seen so often has vectors of its own.
+MIN_COUNT = 200
+#: Noise members a token in the prediction within its class.
+MEMBER_NOISE = 4
 NOISE, BATCH, RATE = 64, 4096, 0.1
 SCORE_ROWS = 2048
 END = np.uint64(0x656E64206F662074)
 _BUFFER = 4 << 20
-_TABLES = ("E1", "E2", "E3", "R", "b")
+_TABLES = ("E1", "E2", "E3", "R", "b", "R2", "b2")
 
 
 def tokens(data: np.ndarray, off: np.ndarray):
@@ -80,23 +86,39 @@ def _counter(batches):
 class Vocabulary:
     """Counts of the most frequent words, sorted by hash, and what is needed to smooth the rest."""
 
-    def __init__(self, top: list[tuple[int, int]], n: int, v: int, classes: dict[int, tuple[int, int]]):
-        """top: (hash, count), most frequent first; n, v: training tokens and distinct ones; classes: tokens and words without a class of their own."""
+    def __init__(self, top: list[tuple[int, int]], n: int, v: int, classes: dict[int, tuple[int, int]], cls: list[int], least: int = MIN_COUNT):
+        """top: (hash, count), most frequent first; n, v: training tokens and distinct ones; classes: tokens and words without a class of their own; cls: the spelling classes of top."""
         h = np.array([x for x, _ in top], np.int64).view(np.uint64)
         c = np.array([x for _, x in top], np.int64)
         own = np.flatnonzero(h != END)[:WORDS]
         ids = np.full(len(h), -1, np.int32)
         ids[own] = 1 + np.arange(len(own))
         ids[h == END] = 0
+        # members: of each spelling class its words of `least` tokens or more, then its rare words
+        cls = np.array(cls, np.int64)
+        often = np.flatnonzero((ids < 0) & (c >= least))
+        often = often[np.argsort(cls[often], kind="stable")]
+        per = np.bincount(cls[often], minlength=CLASSES)
+        self.start = np.concatenate(([0], np.cumsum(per + 1)))
+        self.members = int(self.start[-1])
+        member = np.full(len(h), -1, np.int32)
+        member[often] = np.arange(len(often)) + cls[often]
+        share = np.zeros(self.members)
+        share[member[often]] = c[often] + 0.5
+        inside = np.array([classes.get(k, (0, 0)) for k in range(CLASSES)], float).reshape(CLASSES, 2)
+        # rare words, and one that was never seen
+        rest = inside[:, 0] - np.bincount(cls[often], c[often], CLASSES) + 0.5 * (inside[:, 1] - per + 1)
+        share[self.start[1:] - 1] = rest
+        total = np.add.reduceat(share, self.start[:-1])
+        self.share = share / np.repeat(total, per + 1)
+        self.in_rest = np.log10(rest)
+        self.noise_sums = np.cumsum(self.share)
         order = np.argsort(h)
-        self.h, self.c, self.id = h[order], c[order], ids[order]
+        self.h, self.c, self.id, self.member = h[order], c[order], ids[order], member[order]
         self.n, self.v = n, v
         self.words = len(own)
         self.size = 1 + WORDS + CLASSES
         self.base_z = np.log10(n + 0.5 * (v + 1))
-        self.in_class = np.full(CLASSES, np.log10(0.5))
-        for k, (tok, types) in classes.items():
-            self.in_class[k] = np.log10(tok + 0.5 * (types + 1))
         noise = np.full(self.size, 0.5)
         noise[ids[own]] += c[own]
         noise[0] += c[h == END].sum()
@@ -106,46 +128,67 @@ class Vocabulary:
         self.noise = noise / noise.sum()
 
     def look(self, h: np.ndarray, cls: np.ndarray):
-        """(class id, count or -1 if not held, whether the token has a class of its own)."""
+        """(class id, member or -1, count or -1 if not held, whether the token has a class of its own)."""
         if not len(self.h):
-            ids = np.where(h == END, 0, 1 + WORDS + cls)
-            return ids.astype(np.int32), np.full(len(h), -1), h == END
+            own = h == END
+            return np.where(own, 0, 1 + WORDS + cls).astype(np.int32), np.where(own, -1, self.start[cls + 1] - 1), np.full(len(h), -1), own
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         held = self.h[at] == h
         ids = np.where(held, self.id[at], -1)
         own = (ids >= 0) | (h == END)
         ids = np.where(own, np.maximum(ids, 0), 1 + WORDS + cls)
-        return ids.astype(np.int32), np.where(held, self.c[at], -1), own
+        member = np.where(held, self.member[at], -1)
+        member = np.where(own, -1, np.where(member >= 0, member, self.start[cls + 1] - 1))
+        return ids.astype(np.int32), member, np.where(held, self.c[at], -1), own
+
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        """The tables' shapes: one row of E1, E2, E3 a word with a class of its own (first the end), then one a member."""
+        e = (1 + WORDS + self.members, DIM)
+        return {"E1": e, "E2": e, "E3": e, "R": (self.size, DIM), "b": (self.size,), "R2": (self.members, DIM), "b2": (self.members,)}
 
 
 def start_model(vocab: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    m = {k: rng.normal(0, 0.1 if k == "R" else 0.01, (vocab.size, DIM)).astype(np.float32) for k in ("E1", "E2", "E3", "R")}
-    return m | {"b": np.log(vocab.noise).astype(np.float32)}
+    m = {k: rng.normal(0, 0.1 if k[0] == "R" else 0.01, x).astype(np.float32) for k, x in vocab.shapes().items() if k[0] != "b"}
+    return m | {"b": np.log(vocab.noise).astype(np.float32), "b2": np.log(vocab.share).astype(np.float32)}
+
+
+def _inputs(ids: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """The rows of E1, E2 and E3."""
+    return np.where(member >= 0, 1 + WORDS + member, ids)
 
 
 def _context(m: dict, ids: np.ndarray, row: np.ndarray):
-    """Context vectors of all tokens of whole texts; the classes before (size: none), and the number of tokens so far."""
-    n, none = len(ids), len(m["b"])
+    """Context vectors of all tokens of whole texts, given by input rows; the rows before (their number: none), and the number of tokens so far."""
+    n, none = len(ids), len(m["E1"])
     start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     pos = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
     w1 = np.where(pos > 0, np.concatenate(([none], ids[:-1])), none)
     w2 = np.where(pos > 1, np.concatenate(([none, none], ids[:-2]))[:n], none)
-    pad = lambda t: np.vstack((t, np.zeros((1, DIM), np.float32)))
+    take = lambda t, w: t[np.minimum(w, none - 1)] * (w < none)[:, None]
     sums = np.zeros((n + 1, DIM), np.float64)
     np.cumsum(m["E3"][ids], axis=0, out=sums[1:])
     mean = (sums[:-1] - sums[np.repeat(start, np.diff(np.append(start, n)))]) / np.maximum(pos, 1)[:, None]
-    return pad(m["E1"])[w1] + pad(m["E2"])[w2] + mean.astype(np.float32), w1, w2, pos, start
+    return take(m["E1"], w1) + take(m["E2"], w2) + mean.astype(np.float32), w1, w2, pos, start
 
 
 def _scatter(idx: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(idx, g[:, j], size + 1)[:size] for j in range(g.shape[1])], axis=1)
 
 
-def train(m: dict, acc: dict, vocab: Vocabulary, ids: np.ndarray, row: np.ndarray, rng) -> None:
+def _step(m: dict, acc: dict, k: str, idx: np.ndarray, g: np.ndarray, n: int) -> None:
+    """Adds up the gradients of the rows that occur and moves only those."""
+    u, idx = np.unique(idx, return_inverse=True)
+    g = (_scatter(idx, g, len(u)) if g.ndim == 2 else np.bincount(idx, g, len(u))) / n
+    acc[k][u] += g * g
+    m[k][u] -= (RATE * g / np.sqrt(acc[k][u])).astype(np.float32)
+
+
+def train(m: dict, acc: dict, vocab: Vocabulary, ids: np.ndarray, member: np.ndarray, row: np.ndarray, rng) -> None:
     """One NCE step on whole texts, with noise classes shared by the batch; changes m and acc."""
     size = vocab.size
-    q, w1, w2, pos, start = _context(m, ids, row)
+    inputs = _inputs(ids, member)
+    q, w1, w2, pos, start = _context(m, inputs, row)
     noise = rng.choice(size, NOISE, p=vocab.noise)
     shift = np.log(NOISE * vocab.noise).astype(np.float32)
     rt = m["R"][ids]
@@ -156,6 +199,19 @@ def train(m: dict, acc: dict, vocab: Vocabulary, ids: np.ndarray, row: np.ndarra
     gb = np.bincount(ids, e, size)
     np.add.at(gr, noise, en.T @ q)
     np.add.at(gb, noise, en.sum(axis=0))
+    # members: noise of the token's own class, by share
+    t = np.flatnonzero(member >= 0)
+    qt, right = q[t], member[t]
+    k = ids[t] - 1 - WORDS
+    low, high = vocab.start[k], vocab.start[k + 1] - 1
+    base = np.where(low > 0, vocab.noise_sums[low - 1], 0)
+    draw = base[:, None] + rng.random((len(t), MEMBER_NOISE)) * (vocab.noise_sums[high] - base)[:, None]
+    wrong = np.clip(np.searchsorted(vocab.noise_sums, draw), low[:, None], high[:, None])
+    both = np.concatenate((right[:, None], wrong), axis=1)
+    r2 = m["R2"][both]
+    e2 = 1 / (1 + np.exp(-(np.einsum("ij,ikj->ik", qt, r2) + m["b2"][both] - np.log(MEMBER_NOISE * vocab.share[both]).astype(np.float32))))
+    e2[:, 0] -= 1
+    dq[t] += np.einsum("ik,ikj->ij", e2, r2)
     # the mean's vectors: what all later tokens of the text send back
     back = dq / np.maximum(pos, 1)[:, None]
     back[pos == 0] = 0
@@ -163,43 +219,51 @@ def train(m: dict, acc: dict, vocab: Vocabulary, ids: np.ndarray, row: np.ndarra
     end = np.append(start[1:], len(ids))
     after = np.concatenate((sums, np.zeros((1, DIM))))[np.repeat(end, end - start)]
     later = np.concatenate((sums[1:], np.zeros((1, DIM)))) - after
-    grads = {"E1": _scatter(w1, dq, size), "E2": _scatter(w2, dq, size), "E3": _scatter(ids, later, size), "R": gr, "b": gb}
-    for k, g in grads.items():
+    for k, g in {"R": gr, "b": gb}.items():
         g = g / len(ids)
         acc[k] += g * g
         m[k] -= (RATE * g / np.sqrt(acc[k])).astype(np.float32)
+    for k, w in (("E1", w1), ("E2", w2)):
+        has = w < len(m[k])
+        _step(m, acc, k, w[has], dq[has], len(ids))
+    _step(m, acc, "E3", inputs, later, len(ids))
+    if len(t):
+        _step(m, acc, "R2", both.ravel(), (e2[:, :, None] * qt[:, None, :]).reshape(-1, DIM), len(ids))
+        _step(m, acc, "b2", both.ravel(), e2.ravel(), len(ids))
 
 
 def _batched(batches, vocab: Vocabulary):
-    """(ids, row) of whole texts, at least BATCH tokens at a time."""
-    have, rows, size, base = [], [], 0, 0
+    """(ids, member, row) of whole texts, at least BATCH tokens at a time."""
+    have, mems, rows, size, base = [], [], [], 0, 0
     for b in batches:
         for p in pieces(b, "text"):
             h, c, row = tokens(*text_bytes(p.column("text")))
-            ids, _, _ = vocab.look(h, c)
+            ids, member, _, _ = vocab.look(h, c)
             cut = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1], [True])))
             s = 0
             for e in cut[1:]:
                 if size + e - s >= BATCH or e == cut[-1]:
-                    have.append(ids[s:e]), rows.append(row[s:e] + base)
+                    have.append(ids[s:e]), mems.append(member[s:e]), rows.append(row[s:e] + base)
                     size += e - s
                     s = e
                     if size >= BATCH:
-                        yield np.concatenate(have), np.concatenate(rows)
-                        have, rows, size = [], [], 0
+                        yield np.concatenate(have), np.concatenate(mems), np.concatenate(rows)
+                        have, mems, rows, size = [], [], [], 0
             base += p.num_rows
     if size:
-        yield np.concatenate(have), np.concatenate(rows)
+        yield np.concatenate(have), np.concatenate(mems), np.concatenate(rows)
 
 
 def _pack(m: dict, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate([m[k].astype(np.float64).ravel() for k in _TABLES]).tobytes()], pa.binary())], names=["n", "m"])
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate([m[k].ravel() for k in _TABLES]).tobytes()], pa.binary())], names=["n", "m"])
 
 
-def _unpack(raw: bytes, size: int) -> dict:
-    v = np.frombuffer(raw, np.float64).astype(np.float32)
-    cut = np.cumsum([0, *[size * DIM] * 4, size])
-    return {k: v[s:e].reshape((size, DIM) if k != "b" else (size,)).copy() for k, s, e in zip(_TABLES, cut[:-1], cut[1:], strict=True)}
+def _unpack(raw: bytes, vocab: Vocabulary) -> dict:
+    v, out, at = np.frombuffer(raw, np.float32), {}, 0
+    for k, shape in vocab.shapes().items():
+        n = int(np.prod(shape))
+        out[k], at = v[at : at + n].reshape(shape).copy(), at + n
+    return out
 
 
 def _trainer(m: dict, vocab: Vocabulary, epochs: int):
@@ -212,7 +276,7 @@ def _trainer(m: dict, vocab: Vocabulary, epochs: int):
             for _ in range(epochs):
                 for i in rng.permutation(len(kept)):
                     train(own, acc, vocab, *kept[i], rng)
-            n = sum(len(x) for x, _ in kept)
+            n = sum(len(x[0]) for x in kept)
         else:
             for x in _batched(batches, vocab):
                 train(own, acc, vocab, *x, rng)
@@ -227,15 +291,15 @@ def _average(batches):
     n, total = 0, None
     for b in batches:
         for k, raw in zip(b.column("n").to_pylist(), b.column("m").to_pylist(), strict=True):
-            v = np.frombuffer(raw, np.float64) * k
+            v = np.frombuffer(raw, np.float32).astype(np.float64) * k
             n, total = n + k, v if total is None else total + v
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).tobytes()], pa.binary())], names=["n", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "m"])
 
 
-def log_probs(m: dict, ids: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """log10 probability of each token's class, normalised over all classes."""
-    q = _context(m, ids, row)[0]
+def log_probs(m: dict, vocab: Vocabulary, ids: np.ndarray, member: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """log10 probability of each token's class, normalised over all classes, and of its member, over those of the class."""
+    q = _context(m, _inputs(ids, member), row)[0]
     rt, b = np.ascontiguousarray(m["R"].T), m["b"]
     out = np.empty(len(ids), np.float64)
     for s in range(0, len(ids), SCORE_ROWS):
@@ -244,6 +308,20 @@ def log_probs(m: dict, ids: np.ndarray, row: np.ndarray) -> np.ndarray:
         own = x[np.arange(len(x)), ids[s : s + SCORE_ROWS]].astype(np.float64)
         np.exp(x, out=x)
         out[s : s + SCORE_ROWS] = own - np.log(x.sum(axis=1))
+    inside = np.flatnonzero(member >= 0)
+    inside = inside[np.argsort(ids[inside], kind="stable")]
+    cut = np.searchsorted(ids[inside], 1 + WORDS + np.arange(CLASSES + 1))
+    for k in range(CLASSES):
+        low, high = vocab.start[k], vocab.start[k + 1]
+        rt, b = np.ascontiguousarray(m["R2"][low:high].T), m["b2"][low:high]
+        rows = max(1, SCORE_ROWS * 256 // (high - low))  # holds memory down in large classes
+        for s in range(cut[k], cut[k + 1], rows):
+            t = inside[s : min(s + rows, cut[k + 1])]
+            x = q[t] @ rt
+            x += b
+            own = x[np.arange(len(t)), member[t] - low].astype(np.float64)
+            np.exp(x, out=x)
+            out[t] += own - np.log(x.sum(axis=1))
     return out / np.log(10)
 
 
@@ -254,10 +332,11 @@ def _scorer(m: dict, vocab: Vocabulary):
             for p in pieces(batch, "text"):
                 n = p.num_rows
                 h, cls, row = tokens(*text_bytes(p.column("text")))
-                ids, c, own = vocab.look(h, cls)
+                ids, member, c, own = vocab.look(h, cls)
                 held = c >= 0
                 log = np.log10(np.maximum(c, 0) + 0.5)
-                lp = log_probs(m, ids, row) + np.where(own, 0, np.where(held, log, 0) - vocab.in_class[cls])
+                rare = ~own & (member == vocab.start[cls + 1] - 1)
+                lp = log_probs(m, vocab, ids, member, row) + np.where(rare, np.where(held, log, 0) - vocab.in_rest[cls], 0)
                 base = np.where(held, log, 0) - vocab.base_z
                 rest = ~held & ~own
                 r, w = row[rest], h[rest]
@@ -280,12 +359,12 @@ def _scorer(m: dict, vocab: Vocabulary):
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, least: int = MIN_COUNT) -> DataFrame:
     """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Texts are lower-cased (A-Z) and cut at white space; every text ends with one end token. Held out are
     ids whose crc32 mod 5 is 1; null ids are not. Null or empty texts are the end alone. base_score is the
-    smoothed unigram score, score the neural model's. Rows that repeat id or text are rows like
+    smoothed unigram score, score the neural model's, in which every word of `least` training tokens has its own vectors. Rows that repeat id or text are rows like
     others. Other columns are ignored; an empty table gives no rows. Words are compared by 64-bit hash.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -294,10 +373,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     learn = d.where(~held)
     counts = learn.select("text").mapInArrow(_counter, "h long, cls int, c long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("c").alias("c"))
     counts = materialize(counts, "counts")
-    total = counts.agg(F.sum("c"), F.count("*")).first()
-    n, v = int(total[0] or 0), int(total[1])
+    total = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") >= least).cast("long"))).first()
+    n, v, often = int(total[0] or 0), int(total[1]), int(total[2] or 0)
     rank = counts.orderBy(F.desc("c"), "h")
-    most = [(r.h, r.c, r.cls) for r in rank.limit(max(top, WORDS + 1)).collect()]  # bounded by `top`
+    most = [(r.h, r.c, r.cls) for r in rank.limit(max(top, WORDS + 1, often)).collect()]  # `top`, or all words with vectors if they are more
     end = int(END.view(np.int64))
     if all(h != end for h, _, _ in most):  # every text ends with it, so its count is always held
         most += [(r.h, r.c, r.cls) for r in counts.where(F.col("h") == end).collect()]
@@ -306,17 +385,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     for _, c, k in own:
         classes[k][0] -= c
         classes[k][1] -= 1
-    vocab = Vocabulary([(h, c) for h, c, _ in most], n, v, {k: tuple(x) for k, x in classes.items()})
+    vocab = Vocabulary([(h, c) for h, c, _ in most], n, v, {k: tuple(x) for k, x in classes.items()}, [k for _, _, k in most], least)
     model = start_model(vocab)
     if n:
         first = learn.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(START_DOCS)
         got = learn.join(F.broadcast(first), "id", "left_semi").select("text").repartition(1).mapInArrow(_trainer(model, vocab, START_EPOCHS), "n long, m binary").collect()
-        model = _unpack(bytes(got[0].m), vocab.size) if got else model
+        model = _unpack(bytes(got[0].m), vocab) if got else model
         each = learn.select("text").mapInArrow(_trainer(model, vocab, 1), "n long, m binary")
         parts = each.rdd.getNumPartitions()
         wide = max(1, int(parts**0.5))
         each = each.repartition(wide).mapInArrow(_average, "n long, m binary").repartition(1).mapInArrow(_average, "n long, m binary")
-        model = _unpack(bytes(each.collect()[0].m), vocab.size)
+        model = _unpack(bytes(each.collect()[0].m), vocab)
     rows = materialize(d.mapInArrow(_scorer(model, vocab), f"rid long, id {kind}, n_tokens long, n_known long, base double, score double, h array<long>, tf array<int>"), "scored")
     rare = rows.select("rid", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("rid", F.col("x.h").alias("h"), F.col("x.tf").alias("tf"))
     seen = counts if len(most) < v else counts.limit(0)

@@ -188,6 +188,39 @@ def test_lm_holds_the_count_of_the_end(spark):
     assert got.base_score == pytest.approx(600 * math.log10(2.5 / 752) + math.log10(1.5 / 752))
 
 
+def test_lm_gives_every_frequent_word_its_own_vectors():
+    """Words beyond the first 255 are predicted from their context, and all words' probabilities sum to one."""
+    import numpy as np
+
+    from gridweave.llm import lm
+
+    names = [f"w{i}" for i in range(900)]
+    pairs = [f"{names[600 + i % 300]} {names[300 + i % 300]}" for i in range(3000)]
+    col = lambda x: lm.pa.array(x, lm.pa.string())
+    h, cls, row = lm.tokens(*lm.text_bytes(col(pairs + names[:300] * 20)))
+    u, at, c = np.unique(h, return_index=True, return_counts=True)
+    order = np.argsort(-c, kind="stable")
+    first = [i for i in order if u[i] != lm.END][: lm.WORDS]
+    left = np.setdiff1d(order, [*first, np.searchsorted(u, lm.END)])
+    classes = {k: (int(c[left][cls[at[left]] == k].sum()), int((cls[at[left]] == k).sum())) for k in range(lm.CLASSES)}
+    vocab = lm.Vocabulary([(int(u[i].view(np.int64)), int(c[i])) for i in order], int(c.sum()), len(u), classes, [int(cls[at[i]]) for i in order], 10)
+    ids, member, _, own = vocab.look(h, cls)
+    assert vocab.members == 900 - lm.WORDS + lm.CLASSES and ((member >= 0) == ~own).all()
+    m, rng = lm.start_model(vocab), np.random.default_rng(1)
+    acc = {k: np.full(x.shape, 1e-6) for k, x in m.items()}
+    before = lm.log_probs(m, vocab, ids, member, row)
+    for _ in range(60):
+        lm.train(m, acc, vocab, ids, member, row, rng)
+    after = lm.log_probs(m, vocab, ids, member, row)
+    second = np.flatnonzero(~own & (np.concatenate(([-1], row[:-1])) == row))
+    assert after[second].mean() > before[second].mean() + 0.5
+    # every possible next token after one word: classes with their own output, and the members of the others
+    nxt = [(i, -1) for i in range(vocab.size - lm.CLASSES)] + [(1 + lm.WORDS + k, j) for k in range(lm.CLASSES) for j in range(vocab.start[k], vocab.start[k + 1])]
+    i2, m2 = (np.array([(a, b) for p in nxt for a, b in ((ids[0], p[0]), (member[0], p[1]))][x::2]).ravel() for x in (0, 1))
+    lp = lm.log_probs(m, vocab, i2, m2, np.repeat(np.arange(len(nxt)), 2))[1::2]
+    assert (10**lp).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_toxicity(spark, docs):
     ship(spark)
     name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))  # noqa: E731  copies would count once
