@@ -126,6 +126,25 @@ def test_layouts(spark):
     assert [(r.role, r.text) for r in got[:6]] == [("user", "a"), ("assistant", "b")] * 3 and [r.layout for r in got[6:]] == [None, None]
 
 
+def test_every_layout_has_its_mapping(spark):
+    recs = {
+        "turn": ('{"role":"human","text":"a"}', [("user", "a")]),
+        "messages": ('{"messages":[{"role":"user","content":"a"},{"role":"bot","content":"b"}]}', [("user", "a"), ("assistant", "b")]),
+        "conversations": ('{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}', [("user", "a"), ("assistant", "b")]),
+        "prompt": ('{"prompt":"a","completion":"b"}', [("user", "a"), ("assistant", "b")]),
+        "instruction": ('{"output":"b","instruction":"a"}', [("user", "a"), ("assistant", "b")]),
+        "instruction_input": ('{"instruction":"a","input":"i","output":"b"}', [("user", "a"), ("user", "i"), ("assistant", "b")]),
+        "system_prompt": ('{"system":"s","prompt":"a","completion":"b"}', [("system", "s"), ("user", "a"), ("assistant", "b")]),
+        "question": ('{"question":"a","answer":"b"}', [("user", "a"), ("assistant", "b")]),
+        "nested": ('{"data":{"prompt":"a","response":"b"}}', [("user", "a"), ("assistant", "b")]),
+    }
+    assert set(recs) == {m.name for m in chat.MAPPINGS}
+    got = {}
+    for r in chat.canonical_turns(spark.createDataFrame([(k, v[0]) for k, v in recs.items()], "conv_id string, rec string"), "conv_id", "rec").orderBy("pos").collect():
+        got.setdefault((r.conv_id, r.layout), []).append((r.role, r.text))
+    assert got == {(k, k): v[1] for k, v in recs.items()}
+
+
 def test_web(spark):
     ship(spark)
     foot = "all rights are kept by the owner of this site here"
