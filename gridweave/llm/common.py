@@ -40,12 +40,15 @@ def scratch_root(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone by now
             pass
 
@@ -53,6 +56,29 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def drop_scratch(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` that nothing reads any more; others are left alone."""
+    for df in tables:
+        names = set(df.inputFiles())
+        for spark, path in [x for x in _written if any(n.startswith((x[1] + "/", x[1].replace("file:///", "file:/") + "/")) for n in names)]:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
+def scratch_mark() -> int:
+    """How many tables of `materialize` there are now, for `drop_since`."""
+    return len(_written)
+
+
+def drop_since(mark: int, keep: DataFrame) -> None:
+    """Deletes what was written since the mark but for `keep`; for a step whose result has been written."""
+    names = keep.inputFiles()
+    for spark, path in _written[mark:]:
+        if not any(n.startswith((path + "/", path.replace("file:///", "file:/") + "/")) for n in names):
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder and read them again."""
     spark = df.sparkSession
@@ -65,9 +91,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:
     """The keys with over HOT_SHARE of the rows: at most 1 / HOT_SHARE values reach the driver."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = df.count() if rows is None else rows
-    least = max(HOT_ROWS, int(total * HOT_SHARE))
-    return [r[0] for r in counts.where(F.col("_n") >= least).select(key).collect()]
+    rows = df.count() if rows is None else rows
+    return [r[0] for r in counts.where(F.col("_n") >= max(HOT_ROWS, int(rows * HOT_SHARE))).select(key).collect()]
+
+
+def wide_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join by a sort-merge at every size, so that adaptive execution splits the rows of hot keys of `left`; `right` has one row a key."""
+    return left.join(right.hint("merge"), key, how)
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
@@ -85,6 +115,27 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", ho
     return a.unionByName(b)
 
 
+#: A membership filter has so many bitmaps of 2^15 bits: 4 MB in all, whatever the number of keys.
+FILTER_MAPS = 1024
+
+
+def may_be_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of `df` whose key may be one of `keys` (their first column): no such row is lost, some others stay.
+
+    The keys set bits by hash in bitmaps of a fixed total size, which are broadcast. With very many keys (from
+    some ten millions on) the bitmaps fill up and pass ever more rows; what follows has to join exactly.
+    """
+    h = F.xxhash64(F.col(keys.columns[0]).cast(df.schema[key].dataType))
+    place = lambda x: F.pmod(F.shiftright(x, 15), F.lit(FILTER_MAPS)).cast("int")
+    bits = keys.where(F.col(keys.columns[0]).isNotNull()).select(place(h).alias("_map"), F.pmod(h, F.lit(1 << 15)).alias("_bit"))
+    bits = bits.groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    d = df.where(F.col(key).isNotNull()).withColumn("_h", F.xxhash64(key)).withColumn("_map", place(F.col("_h")))
+    at = F.pmod(F.col("_h"), F.lit(1 << 15)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)) == 1
+    return d.join(F.broadcast(bits), "_map").where(is_set).select(*df.columns)
+
+
 # ---- numpy over Arrow text -------------------------------------------------------------------
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
