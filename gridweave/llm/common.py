@@ -95,7 +95,7 @@ def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:
     return [r[0] for r in counts.where(F.col("_n") >= max(HOT_ROWS, int(rows * HOT_SHARE))).select(key).collect()]
 
 
-def wide_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def wide_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """Equi-join by a sort-merge at every size, so that adaptive execution splits the rows of hot keys of `left`; `right` has one row a key."""
     return left.join(right.hint("merge"), key, how)
 

@@ -8,9 +8,9 @@ Candidates are confirmed on the full shingle sets. Python works on Arrow batches
 
 Rows are keyed on the A values for the shuffle and expanded to the (A_i, B_j) tables inside each
 task. Small tables are compared pair by pair, by a sketch. Members of large tables are linked with the first one, each with the
-one most alike by sketch. A member of a large table that is then still outside a group with which it shares
-a table is held against all members of that group, whose sets lie in blocks of bounded size: a block answers
-with one link at most. So no pair is left out, and nothing of the size of all pairs is ever written.
+one most alike by sketch. What is then still outside the group that prevails at an A value is held against all members of that
+group, and against all others that are outside it, in blocks of bounded size: a block answers an asker with one link to each
+group. So no pair is left out, and nothing of the size of all pairs is ever written.
 """
 
 from __future__ import annotations
@@ -231,12 +231,16 @@ def _by_group(batches, names: tuple[str, ...], end: int):
 
 
 def _meeter(tables: int, percent: int):
-    """Groups (key, q, p): members outside the A value's main group (role 0) against all (role 1) -> (rep, label of another, larger group with which it shares a table)."""
+    """Groups (key, q, p): members outside the A value's main group (role 0) against all (role 1).
+
+    Gives (rep, to, kind): kind 0, rep may be like a member of the main group `to`; kind 1, rep may be like
+    another that is outside of it, too. So there are at most two rows a group and member.
+    """
 
     def run(batches):
         for _, have in _by_group(batches, ("key", "q", "p"), 3):
             t = pa.Table.from_batches(have)
-            key, rep, label, n, size, role = (t.column(c).to_numpy() for c in ("key", "rep", "label", "n", "size", "role"))
+            key, rep, label, n, main, role = (t.column(c).to_numpy() for c in ("key", "rep", "label", "n", "main", "role"))
             sk = np.frombuffer(b"".join(t.column("sk").to_pylist()), np.uint64).reshape(len(rep), SKETCH // 16)
             sub = _tables_of(key, t.column("bc").to_pylist(), tables)
             few, all_ = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
@@ -248,20 +252,24 @@ def _meeter(tables: int, percent: int):
             f, mine = np.repeat(few, tables), sub[few].ravel()
             low, high = np.searchsorted(s, mine), np.searchsorted(s, mine, side="right")
             ends = np.cumsum(high - low)
-            found, at = [], 0
+            asks, stray, at = np.zeros(len(rep), bool), np.zeros(len(rep), bool), 0
             while at < len(f):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
                 cnt = (high - low)[at:to]
                 x, y = np.repeat(f[at:to], cnt), who[_runs(cnt, low[at:to])]
-                ok = (label[x] != label[y]) & _sizes_fit(n[x], n[y], percent) & ((size[x] < size[y]) | ((size[x] == size[y]) & (label[x] > label[y])))
+                in_main = label[y] == main[y]
+                ok = (label[x] != label[y]) & _sizes_fit(n[x], n[y], percent) & ~np.where(in_main, asks[x], stray[x] & stray[y])
                 x, y = x[ok], y[ok]
                 ok = _differ(sk[x], sk[y]) <= SKETCH_DIFFER
-                if ok.any():
-                    found.append(np.unique(np.stack((rep[x[ok]], label[y[ok]])), axis=1))
+                x, y = x[ok], y[ok]
+                in_main = label[y] == main[y]
+                asks[x[in_main]] = True
+                stray[x[~in_main]] = stray[y[~in_main]] = True
                 at = to
-            if found:
-                a = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[1])], names=["rep", "to"])
+            for kind, is_so in enumerate((asks, stray)):
+                r = np.unique(rep[is_so])
+                if len(r):
+                    yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(np.full(len(r), main[0])), pa.array(np.full(len(r), kind, np.int32))], names=["rep", "to", "kind"])
 
     return run
 
@@ -290,40 +298,39 @@ def _pair_verifier(k: int, percent: int):
 
 
 def _block_verifier(k: int, percent: int):
-    """Groups (to, block), members (role 0) before askers (role 1): for each asker one member as alike as asked, if there is any."""
+    """Groups (to, kind, block), members (role 0) before askers (role 1): for each asker and group of members other than its own one member as alike as asked, if there is any."""
 
     def sets(batch):
         for p in pieces(batch, "text"):
             h, first, _, _ = word_hashes(*text_bytes(p.column("text")))
-            for i, r in enumerate(p.column("rep").to_pylist()):
-                yield r, shingles(h[first[i] : first[i + 1]], k)
+            for i, (r, g) in enumerate(zip(p.column("rep").to_pylist(), p.column("label").to_pylist(), strict=True)):
+                yield r, g, shingles(h[first[i] : first[i + 1]], k)
 
     def run(batches):
-        now, reps, held, index = None, [], [], None
+        now, held, index = None, [], None
         for b in batches:
-            for key, have in _by_group([b], ("to", "block", "role"), 3):
-                if key[:2] != now:
-                    now, reps, held, index = key[:2], [], [], None
+            for key, have in _by_group([b], ("to", "kind", "block", "role"), 4):
+                if key[:3] != now:
+                    now, held, index = key[:3], [], None
                 for part in have:
-                    if key[2] == 0:
-                        for r, s in sets(part):
-                            reps.append(r), held.append(s)
+                    if key[3] == 0:
+                        held.extend(sets(part))
                         continue
                     if not held:
                         continue
                     if index is None:
-                        n = np.array([len(s) for s in held])
-                        flat = np.concatenate(held)
+                        n = np.array([len(s) for _, _, s in held])
+                        flat = np.concatenate([s for _, _, s in held])
                         order = np.argsort(flat, kind="stable")
-                        index = flat[order], np.repeat(np.arange(len(held)), n)[order], n
-                    words, own, n = index
+                        index = flat[order], np.repeat(np.arange(len(held)), n)[order], n, np.array([g for _, g, _ in held])
+                    words, own, n, label = index
                     a, c = [], []
-                    for r, s in sets(part):
+                    for r, g, s in sets(part):
                         low, high = np.searchsorted(words, s), np.searchsorted(words, s, side="right")
                         same = np.bincount(own[_runs(high - low, low)], minlength=len(n))
-                        ok = np.flatnonzero((same > 0) & (100 * same >= percent * (n + len(s) - same)))
-                        if len(ok):
-                            a.append(r), c.append(reps[ok[0]])
+                        ok = np.flatnonzero((same > 0) & (100 * same >= percent * (n + len(s) - same)) & (label != g))
+                        for j in ok[np.unique(label[ok], return_index=True)[1]]:
+                            a.append(r), c.append(held[j][0])
                     if a:
                         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
@@ -346,30 +353,31 @@ def _across(cls: DataFrame, large: DataFrame, labels: DataFrame, texts: DataFram
     """Links between members of large tables that are in different groups, with a witness each: see the module's text."""
     parts = int(cls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mine = _labelled(large.join(cls.select("rep", "n", "a", "bc", "sk"), "rep"), labels)
-    mine = materialize(mine, "large")
-    sizes = mine.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
-    rows = materialize(wide_join(mine, sizes.select("label", "size"), "label").mapInArrow(_keyed(tables), "key long, bc binary, rep long, label long, n long, sk binary, size long"), "keyed")
+    mine = materialize(mine.select("rep", "label", "n", "sk", "a", "bc"), "large")
+    rows = materialize(mine.mapInArrow(_keyed(tables), "key long, bc binary, rep long, label long, n long, sk binary"), "keyed")
     per = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     per = per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("t"), F.sum("c").alias("m"), F.count("*").alias("groups")).where("groups > 1")
     pieces_of = lambda c: F.ceil(c / PIECE_ROWS).cast("int")
     per = materialize(per.select("key", F.col("t.label").alias("main"), pieces_of(F.col("m")).alias("ps"), pieces_of(F.col("m") - F.col("t.c")).alias("qs")), "keys")
     rows = wide_join(rows, per, "key").withColumn("h", F.xxhash64("rep"))
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["key", "q", "p", "rep", "label", "n", "sk", "bc", "size", "role"]
+    cols = ["key", "q", "p", "rep", "label", "n", "sk", "bc", "main", "role"]
     few = rows.where("label <> main").withColumn("q", F.pmod("h", "qs").cast("int")).withColumn("p", span("ps")).withColumn("role", F.lit(0))
     every = rows.withColumn("p", F.pmod("h", "ps").cast("int")).withColumn("q", span("qs")).withColumn("role", F.lit(1))
     meet = few.select(*cols).unionByName(every.select(*cols)).repartition(parts, "key", "q", "p").sortWithinPartitions("key", "q", "p")
-    asked = materialize(meet.mapInArrow(_meeter(tables, percent), "rep long, to long").distinct(), "asked")
-    # the groups that are asked, in blocks of so many shingles; who asks goes to every block
-    blocks = F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int")
-    groups = materialize(asked.select(F.col("to").alias("label")).distinct().join(sizes.select("label", blocks.alias("bs")), "label"), "groups")
-    members = wide_join(mine.select("rep", "label"), groups, "label").select("rep", F.col("label").alias("to"), F.pmod(F.xxhash64("rep"), "bs").cast("int").alias("block"), F.lit(0).alias("role"))
-    askers = wide_join(asked, groups.withColumnRenamed("label", "to"), "to").withColumn("block", span("bs")).select("rep", "to", "block", F.lit(1).alias("role"))
-    t = texts.select(F.col("id").alias("rep"), "text")
-    both = wide_join(members.unionByName(askers), t, "rep").select("to", "block", "role", "rep", "text")
-    both = both.repartition(parts, "to", "block").sortWithinPartitions("to", "block", "role")
+    asked = meet.mapInArrow(_meeter(tables, percent), "rep long, to long, kind int").distinct()
+    asked = materialize(wide_join(asked, mine.select("rep", "label", "n"), "rep"), "asked")
+    # what is asked, a main group or those outside it, in blocks of so many shingles; who asks goes to every block
+    in_main = wide_join(mine.select("rep", "n", F.col("label").alias("to")), asked.where("kind = 0").select("to").distinct(), "to")
+    members = materialize(in_main.select("rep", "n", "to", F.col("to").alias("label"), F.lit(0).alias("kind")).unionByName(asked.where("kind = 1").select("rep", "n", "to", "label", "kind")), "members")
+    blocks = members.groupBy("to", "kind").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("bs"))
+    there = wide_join(members, blocks, ["to", "kind"]).withColumn("block", F.pmod(F.xxhash64("rep"), "bs").cast("int")).withColumn("role", F.lit(0))
+    come = wide_join(asked, blocks, ["to", "kind"]).withColumn("block", span("bs")).withColumn("role", F.lit(1))
+    cols = ["to", "kind", "block", "role", "rep", "label"]
+    both = wide_join(there.select(*cols).unionByName(come.select(*cols)), texts.select(F.col("id").alias("rep"), "text"), "rep")
+    both = both.repartition(parts, "to", "kind", "block").sortWithinPartitions("to", "kind", "block", "role")
     out = materialize(both.mapInArrow(_block_verifier(k, percent), "a long, b long"), "links")
-    drop_scratch(mine, rows, per, asked, groups)
+    drop_scratch(mine, rows, per, asked, members)
     return out
 
 
