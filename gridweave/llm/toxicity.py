@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_bytes, word_hashes
+from .common import drop_scratch, materialize, pieces, text_bytes, word_hashes
 
 #: The classifier is fitted on at most so many labelled rows (those of the smallest hash of the id).
 SAMPLE_ROWS = 20_000
@@ -53,7 +53,33 @@ def _features(batches):
         for p in pieces(batch, "text"):
             row, t = _distinct(*terms(*text_bytes(p.column("text"))))
             at = np.searchsorted(row, np.arange(p.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([p.column("id"), p.column("y"), pa.array([t[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "y", "t"])
+            yield pa.RecordBatch.from_arrays([p.column("y"), pa.array([t[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["y", "t"])
+
+
+def _counter(batches):
+    """(term, rows of label 1, rows of label 0), summed over some rows before the shuffle."""
+    for b in batches:
+        for s in range(0, b.num_rows, 256):
+            p = b.slice(s, 256)
+            docs = [np.frombuffer(x, np.uint64) for x in p.column("t").to_pylist()]
+            y = np.repeat(p.column("y").to_numpy(), [len(x) for x in docs])
+            t, at = np.unique(np.concatenate(docs), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(np.bincount(at, y, len(t)).astype(np.int64)), pa.array(np.bincount(at, 1 - y, len(t)).astype(np.int64))], names=["t", "p", "q"])
+
+
+def _indexer(keys: np.ndarray):
+    """Rows' terms -> the numbers of those in `keys`."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for x in b.column("t").to_pylist():
+                t = np.frombuffer(x, np.uint64)
+                at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
+                out.append(at[keys[at] == t].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(out, pa.binary())], names=["y", "j"])
+
+    return run
 
 
 class Machine:
@@ -88,30 +114,25 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(row, j, len(off) - 1), -30, 30)))
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
-    """docs: each row's distinct term hashes. Without rows of both classes the score is the smoothed share of 1."""
+def log_odds(p, q, pos: float, n: float):
+    """Of terms with p rows of label 1 and q of label 0, of pos and n - pos: the log-odds and how many standard errors that is."""
+    r = np.log((p + 0.5) / (pos + 1)) - np.log((q + 0.5) / (n - pos + 1))
+    return r, r / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
+
+
+def untrained(n: float, pos: float) -> Machine:
+    """Every score is the smoothed share of 1."""
+    return Machine(np.zeros(0, np.uint64), np.zeros(0), np.log((pos + 0.5) / (n - pos + 0.5)), np.zeros(0), np.zeros((0, FACTORS)))
+
+
+def fit(keys: np.ndarray, r: np.ndarray, docs: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
+    """keys, r: the terms that count, sorted, and their log-odds; docs: each row's distinct numbers of such terms."""
     y = np.asarray(y, float)
-    n, pos = len(y), float(y.sum())
+    n, pos, k = len(y), float(y.sum()), len(keys)
     prior = np.log((pos + 0.5) / (n - pos + 0.5))
-    none = Machine(np.zeros(0, np.uint64), np.zeros(0), prior, np.zeros(0), np.zeros((0, FACTORS)))
-    if not 0 < pos < n:
-        return none
-    row, t = np.repeat(np.arange(n), [len(d) for d in docs]), np.concatenate(docs)
-    keys, at = np.unique(t, return_inverse=True)
-    p, q = np.bincount(at, y[row], len(keys)), np.bincount(at, 1 - y[row], len(keys))
-    r = np.log((p + 0.5) / (pos + 1)) - np.log((q + 0.5) / (n - pos + 1))
-    z = r / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
-    keep = (p + q >= LEAST_ROWS) & (np.abs(z) >= LEAST_Z)
-    if not keep.any():
-        return none
-    to = np.cumsum(keep) - 1
-    ok = keep[at]
-    row, j = row[ok], to[at[ok]]
-    start = np.searchsorted(row, np.arange(n + 1))
+    start, j = np.concatenate(([0], np.cumsum([len(d) for d in docs]))), np.concatenate(docs).astype(np.int64)
     rng = np.random.default_rng(seed)
-    k = int(keep.sum())
-    r = r[keep]
-    m = Machine(keys[keep], r, prior, np.full(k, 0.2), rng.normal(0, 0.01, (k, FACTORS)))
+    m = Machine(keys, r, prior, np.full(k, 0.2), rng.normal(0, 0.01, (k, FACTORS)))
     gb, gw, gv = 1e-6, np.full(k, 1e-6), np.full((k, FACTORS), 1e-6)
     for _ in range(EPOCHS):
         order = rng.permutation(n)
@@ -140,33 +161,41 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
     return m
 
 
-def _fitter(batches):
-    ids, y, t = [], [], []
-    for b in batches:
-        ids += b.column("id").to_pylist()
-        y += b.column("y").to_pylist()
-        t += [np.frombuffer(x, np.uint64) for x in b.column("t").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], t[i].tobytes()))
-    seen, rows = set(), []  # copies count once
-    for i in order:
-        key = hash((y[i], t[i].tobytes()))
-        if key not in seen:
-            seen.add(key)
-            rows.append(i)
-    m = fit([t[i] for i in rows], np.array([y[i] for i in rows]))
-    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.keys, m.r, np.array([m.b], float), m.w, np.ascontiguousarray(m.v))], names=["keys", "r", "b", "w", "v"])
+def _fitter(keys: np.ndarray, r: np.ndarray):
+    def run(batches):
+        rows = sorted((y, j) for b in batches for y, j in zip(b.column("y").to_pylist(), b.column("j").to_pylist(), strict=True))
+        m = fit(keys, r, [np.frombuffer(j, "<u4") for _, j in rows], np.array([y for y, _ in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (np.array([m.b], float), m.w, np.ascontiguousarray(m.v))], names=["b", "w", "v"])
+
+    return run
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """Fits on at most `sample_rows` labelled rows outside the held-out third; one task holds their terms."""
+    """Fits on at most `sample_rows` labelled rows outside the held-out third.
+
+    Terms are counted by an aggregation; only the numbers of those that tell the classes apart go to the one task that learns.
+    """
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     lab = lab.where(F.crc32(F.col("id").cast("string")) % 3 != 1).groupBy("id").agg(F.max("y").alias("y"))
     lab = lab.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    rows = d.join(F.broadcast(lab), "id").select("id", "y", "text").mapInArrow(_features, "id long, y int, t binary")
-    got = rows.repartition(1).mapInArrow(_fitter, "keys binary, r binary, b binary, w binary, v binary").collect()[0]
+    rows = materialize(d.join(F.broadcast(lab), "id").select("y", "text").mapInArrow(_features, "y int, t binary").distinct(), "features")  # copies count once
+    n, pos = (float(x or 0) for x in rows.agg(F.count("*"), F.sum("y")).first())
+    if not 0 < pos < n:
+        return untrained(n, pos)
+    counts = rows.mapInArrow(_counter, "t long, p long, q long").groupBy("t").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= LEAST_ROWS)
+    z = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (n - pos + 1))
+    z = F.abs(z) / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
+    got = counts.where(z >= LEAST_Z).toPandas()  # of a bounded sample's terms
+    if not len(got):
+        return untrained(n, pos)
+    keys = got.t.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    keys, r = keys[order], log_odds(got.p.to_numpy(float), got.q.to_numpy(float), pos, n)[0][order]
+    one = rows.mapInArrow(_indexer(keys), "y int, j binary").repartition(1).mapInArrow(_fitter(keys, r), "b binary, w binary, v binary").collect()[0]
+    drop_scratch(rows)
     num = lambda x: np.frombuffer(bytes(x), float)
-    return Machine(np.frombuffer(bytes(got.keys), np.uint64), num(got.r), float(num(got.b)[0]), num(got.w), num(got.v).reshape(-1, FACTORS))
+    return Machine(keys, r, float(num(one.b)[0]), num(one.w), num(one.v).reshape(-1, FACTORS))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
