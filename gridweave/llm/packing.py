@@ -11,9 +11,11 @@ import bisect
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +24,30 @@ from .common import materialize
 
 WINDOW, OPEN, END_ID = 4096, 64, 2
 MERGE_UNITS = 8192
-CACHE_WORDS = 1_200_000
+#: Words and their pieces of which a worker keeps the ids (some 200 bytes each).
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 800_000
 #: Texts with other characters than these go through the tokenizer whole: there normalising and
 #: lower-casing may depend on neighbours; "<|" may begin a special token.
 _HARD = re.compile("[\x1c-\x1fɐ-\U0010ffff]|<\\|")
 
 
+#: The vocabulary's own cut of normalised text into pieces, within which pairs are merged.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def byte_signs() -> dict[int, str]:
+    """The byte-level vocabulary's sign of each byte: itself where it can be printed in Latin-1, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Tokens:
-    """The ids of texts as little-endian u32 bytes; words between white space are cached.
+    """The ids of texts as little-endian u32 bytes; words between white space and their pieces are cached.
 
     The vocabulary's normaliser composes characters, drops white space and lower-cases; its words
-    never cross white space, so the ids of a text are those of its parts in order.
+    never cross white space, so the ids of a text are those of its parts in order. New pieces go to the
+    tokenizer's model itself, whose cut of letters, digits and other signs is repeated here. (Machines are little-endian.)
     """
 
     def __init__(self, path: str):
@@ -41,22 +56,25 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(path), {}
+        self.tok, self.known, self.piece = Tokenizer.from_file(path), {}, {}
+        self.model, self.signs = self.tok.model, byte_signs()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
-            ids = np.array(enc.ids, "<u4")
-            where = np.searchsorted(starts, np.array([o[0] for o in enc.offsets], np.int64).reshape(-1), side="right") - 1
-            cut = np.searchsorted(where, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            for w, s, e in zip(part, (cut[:-1] * 4).tolist(), (cut[1:] * 4).tolist(), strict=True):
-                self.known[w] = raw[s:e]
+    def learn(self, words) -> None:
+        known, piece, find, merge = self.known, self.piece, _PIECES.findall, self.model.tokenize
+        if len(piece) > CACHE_PIECES:
+            piece.clear()
+        for w in words:
+            ids = []
+            for p in (w,) if w.isascii() and w.isalpha() else find(w):
+                x = piece.get(p)
+                if x is None:
+                    sign = p if p.isascii() else p.encode().decode("latin-1").translate(self.signs)
+                    x = piece[p] = array("I", [t.id for t in merge(sign)]).tobytes()
+                ids.append(x)
+            known[w] = ids[0] if len(ids) == 1 else b"".join(ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -65,16 +83,14 @@ class Tokens:
             if _HARD.search(t):
                 out[i] = self.whole(t)
             else:
-                split[i] = unicodedata.normalize("NFC", t).lower().split()
+                split[i] = (t if t.isascii() else unicodedata.normalize("NFC", t)).lower().split()
         known = self.known
-        miss = set()
-        for ws in split.values():
-            miss.update(w for w in ws if w not in known)
+        miss = set().union(*(set(ws).difference(known) for ws in split.values()))
         if miss:
             if len(known) + len(miss) > CACHE_WORDS:
                 known.clear()
-                miss = {w for ws in split.values() for w in ws}
-            self.learn(sorted(miss))
+                miss = set().union(*split.values())
+            self.learn(miss)
         for i, ws in split.items():
             out[i] = b"".join(map(known.__getitem__, ws))
         return out
