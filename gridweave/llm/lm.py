@@ -2,8 +2,8 @@
 
 The model predicts a token's class: one of the most frequent words, the end of the text, or one of a fixed
 number of spelling classes (by a word's last bytes) that share all other words. Within a spelling class it
-predicts the member: every word that training has seen MIN_COUNT times has vectors of its own, so their number grows
-with the input, and one more member stands for the class's rare words. Both predictions are
+predicts the member: of N training tokens the sqrt(N) most frequent words have vectors of their own (if they are seen MIN_COUNT
+times), so their number grows with the input, and one more member stands for the class's rare words. Both predictions are
 bilinear in the context and the output: a vector for each of the last two tokens and the mean of a third vector
 over all tokens so far, times the output's vector, plus a bias. NCE trains them; for scores
 batched matrix products give the logits of all classes and of all members of the token's class and so exactly normalised
@@ -30,15 +30,18 @@ WORDS, CLASSES, DIM = 255, 128, 24
 TOP = 1 << 17
 #: Documents (those of the smallest hash of the id) from which the vectors start, and passes over them.
 START_DOCS, START_EPOCHS = 2_000, 3
-#: Every word that training has seen so often has vectors of its own.
+#: Words have vectors of their own by rank, down to the square root of the number of training tokens, if training has seen them so often.
 MIN_COUNT = 200
+#: One copy of the model is trained for so many words with vectors, so that what copies send stays in proportion to the corpus.
+COPY_WORDS = 200
 #: Noise members a token in the prediction within its class.
 MEMBER_NOISE = 4
 NOISE, BATCH, RATE = 64, 4096, 0.1
-SCORE_ROWS = 2048
+#: Tokens scored at a time, so that their probabilities of all classes stay in the processor's cache.
+SCORE_ROWS = 512
 END = np.uint64(0x656E64206F662074)
 _BUFFER = 4 << 20
-_TABLES = ("E1", "E2", "E3", "R", "b", "R2", "b2")
+_TABLES = ("E", "R", "b", "R2")
 
 
 def tokens(data: np.ndarray, off: np.ndarray):
@@ -112,6 +115,7 @@ class Vocabulary:
         total = np.add.reduceat(share, self.start[:-1])
         self.share = share / np.repeat(total, per + 1)
         self.in_rest = np.log10(rest)
+        self.member_shift = np.log(MEMBER_NOISE * self.share).astype(np.float32)
         self.noise_sums = np.cumsum(self.share)
         order = np.argsort(h)
         self.h, self.c, self.id, self.member = h[order], c[order], ids[order], member[order]
@@ -142,61 +146,75 @@ class Vocabulary:
         return ids.astype(np.int32), member, np.where(held, self.c[at], -1), own
 
     def shapes(self) -> dict[str, tuple[int, ...]]:
-        """The tables' shapes: one row of E1, E2, E3 a word with a class of its own (first the end), then one a member."""
-        e = (1 + WORDS + self.members, DIM)
-        return {"E1": e, "E2": e, "E3": e, "R": (self.size, DIM), "b": (self.size,), "R2": (self.members, DIM), "b2": (self.members,)}
+        """The tables' shapes. E: three vectors for each input, first the words with a class of their own (the end is 0), then the members; R2: a member's vector and bias."""
+        return {"E": (1 + WORDS + self.members, 3 * DIM), "R": (self.size, DIM), "b": (self.size,), "R2": (self.members, DIM + 1)}
 
 
 def start_model(vocab: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    m = {k: rng.normal(0, 0.1 if k[0] == "R" else 0.01, x).astype(np.float32) for k, x in vocab.shapes().items() if k[0] != "b"}
-    return m | {"b": np.log(vocab.noise).astype(np.float32), "b2": np.log(vocab.share).astype(np.float32)}
+    m = {k: rng.normal(0, 0.1 if k[0] == "R" else 0.01, x).astype(np.float32) for k, x in vocab.shapes().items() if k != "b"}
+    m["R2"][:, DIM] = np.log(vocab.share)
+    return m | {"b": np.log(vocab.noise).astype(np.float32)}
 
 
 def _inputs(ids: np.ndarray, member: np.ndarray) -> np.ndarray:
-    """The rows of E1, E2 and E3."""
+    """The rows of E."""
     return np.where(member >= 0, 1 + WORDS + member, ids)
 
 
-def _context(m: dict, ids: np.ndarray, row: np.ndarray):
-    """Context vectors of all tokens of whole texts, given by input rows; the rows before (their number: none), and the number of tokens so far."""
-    n, none = len(ids), len(m["E1"])
-    start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    pos = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-    w1 = np.where(pos > 0, np.concatenate(([none], ids[:-1])), none)
-    w2 = np.where(pos > 1, np.concatenate(([none, none], ids[:-2]))[:n], none)
-    take = lambda t, w: t[np.minimum(w, none - 1)] * (w < none)[:, None]
-    sums = np.zeros((n + 1, DIM), np.float64)
-    np.cumsum(m["E3"][ids], axis=0, out=sums[1:])
-    mean = (sums[:-1] - sums[np.repeat(start, np.diff(np.append(start, n)))]) / np.maximum(pos, 1)[:, None]
-    return take(m["E1"], w1) + take(m["E2"], w2) + mean.astype(np.float32), w1, w2, pos, start
+def _one(q: np.ndarray) -> np.ndarray:
+    """With a last column of ones, for the bias."""
+    return np.concatenate((q, np.ones((len(q), 1), np.float32)), axis=1)
 
 
-def _scatter(idx: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
-    return np.stack([np.bincount(idx, g[:, j], size + 1)[:size] for j in range(g.shape[1])], axis=1)
+def _context(m: dict, inputs: np.ndarray, row: np.ndarray):
+    """Context vectors of all tokens of whole texts, given by input rows; the number of tokens so far; where texts start."""
+    n = len(inputs)
+    start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    size = np.diff(np.append(start, n))
+    pos = np.arange(n) - np.repeat(start, size)
+    e = m["E"][inputs]
+    sums = np.zeros((DIM, n + 1), np.float64)
+    np.cumsum(np.ascontiguousarray(e[:, 2 * DIM :].T), axis=1, dtype=np.float64, out=sums[:, 1:])
+    q = ((sums[:, :-1] - np.repeat(sums[:, start], size, axis=1)) / np.maximum(pos, 1)).astype(np.float32).T.copy()
+    for back in (1, 2):
+        x = e[: n - back, (back - 1) * DIM : back * DIM]
+        q[back:] += np.where((pos[back:] >= back)[:, None], x, np.float32(0)) if len(start) > 1 else x
+    return q, pos, start
+
+
+def _sums(idx: np.ndarray, g: np.ndarray):
+    """The distinct numbers in idx, and the sum of g's rows of each."""
+    order = np.argsort(idx, kind="stable")
+    idx = idx[order]
+    new = np.flatnonzero(np.concatenate(([True], idx[1:] != idx[:-1])))
+    return idx[new], np.add.reduceat(g[order], new, axis=0)
 
 
 def _step(m: dict, acc: dict, k: str, idx: np.ndarray, g: np.ndarray, n: int) -> None:
     """Adds up the gradients of the rows that occur and moves only those."""
-    u, idx = np.unique(idx, return_inverse=True)
-    g = (_scatter(idx, g, len(u)) if g.ndim == 2 else np.bincount(idx, g, len(u))) / n
+    if not len(idx):
+        return
+    u, g = _sums(idx, g)
+    g /= n
     acc[k][u] += g * g
     m[k][u] -= (RATE * g / np.sqrt(acc[k][u])).astype(np.float32)
 
 
 def train(m: dict, acc: dict, vocab: Vocabulary, ids: np.ndarray, member: np.ndarray, row: np.ndarray, rng) -> None:
     """One NCE step on whole texts, with noise classes shared by the batch; changes m and acc."""
-    size = vocab.size
+    size, n = vocab.size, len(ids)
     inputs = _inputs(ids, member)
-    q, w1, w2, pos, start = _context(m, inputs, row)
+    q, pos, start = _context(m, inputs, row)
     noise = rng.choice(size, NOISE, p=vocab.noise)
     shift = np.log(NOISE * vocab.noise).astype(np.float32)
     rt = m["R"][ids]
-    e = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", q, rt) + m["b"][ids] - shift[ids]))) - 1
+    e = (1 / (1 + np.exp(-(np.einsum("ij,ij->i", q, rt) + m["b"][ids] - shift[ids]))) - 1).astype(np.float32)
     en = 1 / (1 + np.exp(-(q @ m["R"][noise].T + (m["b"] - shift)[noise])))
     dq = e[:, None] * rt + en @ m["R"][noise]
-    gr = _scatter(ids, e[:, None] * q, size)
-    gb = np.bincount(ids, e, size)
+    gr, gb = np.zeros((size, DIM)), np.bincount(ids, e, size)
+    u, g = _sums(ids, e[:, None] * q)
+    gr[u] = g
     np.add.at(gr, noise, en.T @ q)
     np.add.at(gb, noise, en.sum(axis=0))
     # members: noise of the token's own class, by share
@@ -208,28 +226,27 @@ def train(m: dict, acc: dict, vocab: Vocabulary, ids: np.ndarray, member: np.nda
     draw = base[:, None] + rng.random((len(t), MEMBER_NOISE)) * (vocab.noise_sums[high] - base)[:, None]
     wrong = np.clip(np.searchsorted(vocab.noise_sums, draw), low[:, None], high[:, None])
     both = np.concatenate((right[:, None], wrong), axis=1)
-    r2 = m["R2"][both]
-    e2 = 1 / (1 + np.exp(-(np.einsum("ij,ikj->ik", qt, r2) + m["b2"][both] - np.log(MEMBER_NOISE * vocab.share[both]).astype(np.float32))))
+    r2, q1 = m["R2"][both], _one(qt)
+    e2 = (1 / (1 + np.exp(vocab.member_shift[both] - np.matmul(r2, q1[:, :, None])[:, :, 0]))).astype(np.float32)
     e2[:, 0] -= 1
-    dq[t] += np.einsum("ik,ikj->ij", e2, r2)
-    # the mean's vectors: what all later tokens of the text send back
-    back = dq / np.maximum(pos, 1)[:, None]
-    back[pos == 0] = 0
-    sums = np.cumsum(back[::-1], axis=0, dtype=np.float64)[::-1]
-    end = np.append(start[1:], len(ids))
-    after = np.concatenate((sums, np.zeros((1, DIM))))[np.repeat(end, end - start)]
-    later = np.concatenate((sums[1:], np.zeros((1, DIM)))) - after
-    for k, g in {"R": gr, "b": gb}.items():
-        g = g / len(ids)
-        acc[k] += g * g
-        m[k] -= (RATE * g / np.sqrt(acc[k])).astype(np.float32)
-    for k, w in (("E1", w1), ("E2", w2)):
-        has = w < len(m[k])
-        _step(m, acc, k, w[has], dq[has], len(ids))
-    _step(m, acc, "E3", inputs, later, len(ids))
+    dq[t] += np.matmul(e2[:, None, :], r2)[:, 0, :DIM]
+    # what each input gets back from the next token, the one after it, and (by the mean) all later ones of its text
+    g = np.zeros((n, 3 * DIM), np.float32)
+    for back in (1, 2):
+        g[: n - back, (back - 1) * DIM : back * DIM] = np.where((pos[back:] >= back)[:, None], dq[back:], np.float32(0))
+    means = np.ascontiguousarray(dq.T) / np.maximum(pos, 1)
+    means[:, pos == 0] = 0
+    sums = np.zeros((DIM, n + 1), np.float64)
+    np.cumsum(means, axis=1, dtype=np.float64, out=sums[:, 1:])
+    end = np.append(start[1:], n)
+    g[:, 2 * DIM :] = (np.repeat(sums[:, end], end - start, axis=1) - sums[:, 1:]).T
+    for k, x in {"R": gr, "b": gb}.items():
+        x = x / n
+        acc[k] += x * x
+        m[k] -= (RATE * x / np.sqrt(acc[k])).astype(np.float32)
+    _step(m, acc, "E", inputs, g, n)
     if len(t):
-        _step(m, acc, "R2", both.ravel(), (e2[:, :, None] * qt[:, None, :]).reshape(-1, DIM), len(ids))
-        _step(m, acc, "b2", both.ravel(), e2.ravel(), len(ids))
+        _step(m, acc, "R2", both.ravel(), (e2[:, :, None] * q1[:, None, :]).reshape(-1, DIM + 1), n)
 
 
 def _batched(batches, vocab: Vocabulary):
@@ -269,7 +286,7 @@ def _unpack(raw: bytes, vocab: Vocabulary) -> dict:
 def _trainer(m: dict, vocab: Vocabulary, epochs: int):
     def run(batches):
         own = {k: v.copy() for k, v in m.items()}
-        acc = {k: np.full(v.shape, 1e-3 if epochs == 1 else 1e-6) for k, v in m.items()}
+        acc = {k: np.full(v.shape, 1e-3 if epochs == 1 else 1e-6, np.float32) for k, v in m.items()}
         rng, n = np.random.default_rng(TaskContext.get().partitionId()), 0
         if epochs > 1:  # a bounded number of documents
             kept = list(_batched(batches, vocab))
@@ -300,28 +317,30 @@ def _average(batches):
 def log_probs(m: dict, vocab: Vocabulary, ids: np.ndarray, member: np.ndarray, row: np.ndarray) -> np.ndarray:
     """log10 probability of each token's class, normalised over all classes, and of its member, over those of the class."""
     q = _context(m, _inputs(ids, member), row)[0]
-    rt, b = np.ascontiguousarray(m["R"].T), m["b"]
+    rt = np.concatenate((m["R"].T, m["b"][None]))
+    q = _one(q)
+    ones = np.ones(len(m["R"]), np.float32)
     out = np.empty(len(ids), np.float64)
+    held = np.empty((SCORE_ROWS, len(m["R"])), np.float32)
     for s in range(0, len(ids), SCORE_ROWS):
-        x = q[s : s + SCORE_ROWS] @ rt
-        x += b
+        t = q[s : s + SCORE_ROWS]
+        x = np.matmul(t, rt, out=held[: len(t)])
         own = x[np.arange(len(x)), ids[s : s + SCORE_ROWS]].astype(np.float64)
         np.exp(x, out=x)
-        out[s : s + SCORE_ROWS] = own - np.log(x.sum(axis=1))
+        out[s : s + SCORE_ROWS] = own - np.log(x @ ones)
     inside = np.flatnonzero(member >= 0)
     inside = inside[np.argsort(ids[inside], kind="stable")]
     cut = np.searchsorted(ids[inside], 1 + WORDS + np.arange(CLASSES + 1))
     for k in range(CLASSES):
         low, high = vocab.start[k], vocab.start[k + 1]
-        rt, b = np.ascontiguousarray(m["R2"][low:high].T), m["b2"][low:high]
-        rows = max(1, SCORE_ROWS * 256 // (high - low))  # holds memory down in large classes
+        rt, ones = np.ascontiguousarray(m["R2"][low:high].T), np.ones(high - low, np.float32)
+        rows = max(1, SCORE_ROWS * 384 // (high - low))  # holds memory down in large classes
         for s in range(cut[k], cut[k + 1], rows):
             t = inside[s : min(s + rows, cut[k + 1])]
             x = q[t] @ rt
-            x += b
             own = x[np.arange(len(t)), member[t] - low].astype(np.float64)
             np.exp(x, out=x)
-            out[t] += own - np.log(x.sum(axis=1))
+            out[t] += own - np.log(x @ ones)
     return out / np.log(10)
 
 
@@ -359,12 +378,12 @@ def _scorer(m: dict, vocab: Vocabulary):
     return run
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, least: int = MIN_COUNT) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, min_count: int = MIN_COUNT) -> DataFrame:
     """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Texts are lower-cased (A-Z) and cut at white space; every text ends with one end token. Held out are
     ids whose crc32 mod 5 is 1; null ids are not. Null or empty texts are the end alone. base_score is the
-    smoothed unigram score, score the neural model's, in which every word of `least` training tokens has its own vectors. Rows that repeat id or text are rows like
+    smoothed unigram score, score the neural model's, in which the sqrt(training tokens) most frequent words, if seen `min_count` times, have their own vectors. Rows that repeat id or text are rows like
     others. Other columns are ignored; an empty table gives no rows. Words are compared by 64-bit hash.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -373,10 +392,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     learn = d.where(~held)
     counts = learn.select("text").mapInArrow(_counter, "h long, cls int, c long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("c").alias("c"))
     counts = materialize(counts, "counts")
-    total = counts.agg(F.sum("c"), F.count("*"), F.sum((F.col("c") >= least).cast("long"))).first()
-    n, v, often = int(total[0] or 0), int(total[1]), int(total[2] or 0)
-    rank = counts.orderBy(F.desc("c"), "h")
-    most = [(r.h, r.c, r.cls) for r in rank.limit(max(top, WORDS + 1, often)).collect()]  # `top`, or all words with vectors if they are more
+    step = F.floor(F.log2("c") * 64)
+    steps = sorted(((int(r.k), int(r.n), int(r.v), int(r.low)) for r in counts.groupBy(step.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.min("c").alias("low")).collect()), reverse=True)  # some thousand rows at any size
+    n, v = sum(x[1] for x in steps), sum(x[2] for x in steps)
+    top, least, held = max(top, WORDS + 1, int(n**0.5)), max(1, int(n**0.5)), 0
+    low = steps[0][3] if steps else 1
+    for _, _, words, c in steps:  # as many whole steps of the counts as fit into the top
+        held += words
+        if held > top and low < steps[0][3]:
+            break
+        low = c
+    most = sorted(((r.h, r.c, r.cls) for r in counts.where(F.col("c") >= low).collect()), key=lambda x: (-x[1], x[0]))
+    least = max(min_count, most[min(least, len(most)) - 1][1] if most else 1)
     end = int(END.view(np.int64))
     if all(h != end for h, _, _ in most):  # every text ends with it, so its count is always held
         most += [(r.h, r.c, r.cls) for r in counts.where(F.col("h") == end).collect()]
@@ -391,9 +418,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         first = learn.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(START_DOCS)
         got = learn.join(F.broadcast(first), "id", "left_semi").select("text").repartition(1).mapInArrow(_trainer(model, vocab, START_EPOCHS), "n long, m binary").collect()
         model = _unpack(bytes(got[0].m), vocab) if got else model
-        each = learn.select("text").mapInArrow(_trainer(model, vocab, 1), "n long, m binary")
-        parts = each.rdd.getNumPartitions()
-        wide = max(1, int(parts**0.5))
+        copies = max(d.sparkSession.sparkContext.defaultParallelism, int(n**0.5) // COPY_WORDS)
+        each = learn.select("text").coalesce(copies).mapInArrow(_trainer(model, vocab, 1), "n long, m binary")
+        wide = max(1, int(copies**0.5))
         each = each.repartition(wide).mapInArrow(_average, "n long, m binary").repartition(1).mapInArrow(_average, "n long, m binary")
         model = _unpack(bytes(each.collect()[0].m), vocab)
     rows = materialize(d.mapInArrow(_scorer(model, vocab), f"rid long, id {kind}, n_tokens long, n_known long, base double, score double, h array<long>, tf array<int>"), "scored")
