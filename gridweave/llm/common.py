@@ -65,29 +65,20 @@ def drop_scratch(*tables: DataFrame) -> None:
             _written.remove((spark, path))
 
 
-def scratch_mark() -> int:
-    """How many tables of `materialize` there are now, for `drop_since`."""
-    return len(_written)
+def scratch_now() -> list:
+    """What `materialize` has written and nothing has deleted, for `drop_written`."""
+    return list(_written)
 
 
-def drop_since(mark: int, keep: DataFrame) -> None:
-    """Deletes what was written since the mark but for `keep`; for a step whose result has been written."""
+def drop_written(written: list, keep: DataFrame) -> None:
+    """Deletes such tables, but for those that `keep` reads."""
     names = keep.inputFiles()
-    for spark, path in _written[mark:]:
-        if not any(n.startswith((path + "/", path.replace("file:///", "file:/") + "/")) for n in names):
+    for spark, path in written:
+        if (spark, path) in _written and not any(n.startswith((path + "/", path.replace("file:///", "file:/") + "/")) for n in names):
             _delete(spark, path)
             _written.remove((spark, path))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows as a table in the shared folder and read them again."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/gridweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hot_keys(df: DataFrame, key: str, rows: int | None = None) -> list:
     """The keys with over HOT_SHARE of the rows: at most 1 / HOT_SHARE values reach the driver."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))

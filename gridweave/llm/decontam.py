@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hot_join, materialize
+from .common import hot_join, materialize, may_be_in, wide_join
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,7 +81,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     least = max(64, base.count() // 200)
     hot = [r[0] for r in counts.where(F.col("count") >= least).select("tk").collect()]  # at most 200
     # candidates, word by word; equal texts once
-    text = hot_join(d.select("tk", "text"), cand, "tk", hot=hot).groupBy("tk").agg(F.max("text").alias("text"))
+    text = wide_join(may_be_in(d.select("tk", "text"), "tk", cand), cand, "tk").groupBy("tk").agg(F.max("text").alias("text"))
 
     def spans(w):
         def of(n):

@@ -2,7 +2,8 @@
 
 Blocks of rows send their sorted 48-bit fingerprints to the owners of hash ranges as Rice codes
 (Golomb codes with a power of two as divisor); owners answer with bitmaps of the fingerprints that
-another block holds too. Only texts so suspected are shuffled and grouped by their bytes.
+another block holds too. Only texts so suspected are shuffled and grouped by their bytes: a membership
+filter of fixed size passes the suspects' rows where they are read (and by chance a few others).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialize
+from .common import hot_join, materialize, may_be_in, wide_join
 
 BLOCK_ROWS = 1 << 18
 OWNER_ROWS = 1 << 20
@@ -109,9 +110,9 @@ def _suspects(owner_bits: int):
                 v, first, count = np.unique(fp, return_index=True, return_counts=True)
                 own = (v >> shift).astype(np.int64)
                 far = np.zeros(len(v), bool)
-                for m in r["maps"] or []:
-                    at = np.flatnonzero(own == m["owner"])
-                    far[at] = np.unpackbits(np.frombuffer(m["bitmap"], np.uint8))[: len(at)].astype(bool)
+                for m in r["maps"] or []:  # v is sorted, and so are its owners
+                    s, e = np.searchsorted(own, [m["owner"], m["owner"] + 1])
+                    far[s:e] = np.unpackbits(np.frombuffer(m["bitmap"], np.uint8))[: e - s].astype(bool)
                 sus = np.repeat((count > 1) | far, count)
                 n = r["n"]
                 null = np.unpackbits(np.frombuffer(r["nulls"], np.uint8))[:n].astype(bool)
@@ -143,7 +144,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = max(64, rows // 200)
     hot = [r[0] for r in sus.where(F.col("n") >= least).select("sha").collect()]  # at most 200
     hot = [bytes(x) for x in hot]
-    texts = hot_join(d, sus.select("sha"), "sha", hot=hot)
+    texts = wide_join(may_be_in(d, "sha", sus.select("sha")), sus.select("sha"), "sha")
     groups = texts.groupBy("sha", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.count("*").alias("texts"))
     groups = materialize(groups.select("sha", "keep_id", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts of one SHA-256")).cast("long")).otherwise(F.col("group_size")).alias("group_size")), "groups")

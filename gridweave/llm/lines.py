@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialize
+from .common import hot_join, materialize, may_be_in, wide_join
 from .decontam import let
 
 #: Lines in the rolling hash, and the mean number of lines of a chunk.
@@ -123,7 +123,7 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW,
     total = occ.count()
     hot = [bytes(r[0]) for r in rep.where(F.col("times") >= max(64, total // 200)).select("sha").collect()]  # at most 200
     texts = cut.select(F.unhex(F.sha2(F.col("c.chunk").cast("binary"), 256)).alias("sha"), F.col("c.chunk").alias("chunk"))
-    same = hot_join(texts, rep.select("sha"), "sha", hot=hot).groupBy("sha", "chunk").agg(F.count("*").alias("times"))
+    same = wide_join(may_be_in(texts, "sha", rep.select("sha")), rep.select("sha"), "sha").groupBy("sha", "chunk").agg(F.count("*").alias("times"))
     same = same.groupBy("sha").agg(F.count("*").alias("k")).select("sha", F.when(F.col("k") > 1, F.raise_error(F.lit("two chunks of one SHA-256")).cast("long")).otherwise(F.col("k")).alias("k"))
     rep = materialize(rep.join(same, "sha").where("k = 1").select("sha", "first"), "compared")
     gone = hot_join(occ, rep, "sha", hot=hot).where("not (first <=> struct(id, rid, no))")
