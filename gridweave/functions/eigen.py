@@ -23,15 +23,15 @@ def symmetric_2(t: Tensor) -> Vec:
 
 
 def symmetric_3(t: Tensor) -> Vec:
-    """The trigonometric closed form, descending."""
-    a, b, c, d, e, f = t[0][0], t[1][1], t[2][2], t[0][1], t[1][2], t[0][2]
-    x1 = a * a + b * b + c * c - a * b - a * c - b * c + (d * d + f * f + e * e) * 3
-    u, v, w = a * 2 - b - c, b * 2 - a - c, c * 2 - a - b
-    x2 = -(u * v * w) + (w * d * d + v * f * f + u * e * e) * 9 - d * e * f * 54
-    phi = F.atan2(F.sqrt(F.greatest(F.lit(0.0), x1 * x1 * x1 * 4 - x2 * x2)), x2)
-    r, tr = F.sqrt(x1) * 2, a + b + c
-    roots = F.array((tr - r * F.cos(phi / 3)) / 3, (tr + r * F.cos((phi - math.pi) / 3)) / 3, (tr + r * F.cos((phi + math.pi) / 3)) / 3)
-    s = F.sort_array(roots, asc=False)
+    """The trigonometric closed form, descending; equal eigenvalues (isotropic tensors) included."""
+    mean = trace(t) / 3
+    dev = tuple(t[i][i] - mean for i in range(3))
+    xy, yz, xz = t[0][1], t[1][2], t[0][2]
+    square = (dev[0] * dev[0] + dev[1] * dev[1] + dev[2] * dev[2]) / 2 + xy * xy + yz * yz + xz * xz  # never negative
+    cubic = dev[0] * dev[1] * dev[2] + xy * yz * xz * 2 - dev[0] * yz * yz - dev[1] * xz * xz - dev[2] * xy * xy
+    turn = F.atan2(F.sqrt(F.greatest(F.lit(0.0), square * square * square * 4 - cubic * cubic * 27)), cubic * math.sqrt(27)) / 3
+    reach = F.sqrt(square / 3) * 2
+    s = F.sort_array(F.array(*(mean + reach * F.cos(turn + k * 2 * math.pi / 3) for k in (0, 1, 2))), asc=False)
     return s[0], s[1], s[2]
 
 
@@ -85,8 +85,10 @@ def _with(df: DataFrame, cols: list[str], make, names: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            m = _matrix(b, cols, int(len(cols) ** 0.5))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in make(m))], names=[*b.schema.names, *names])
+            m = _matrix(b, cols, int(len(cols) ** 0.5)).astype(float)
+            gap = ~np.isfinite(m).all(axis=(1, 2))  # a null, NaN or infinite entry gives nulls
+            m[gap] = 0.0
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c), mask=gap) for c in make(m))], names=[*b.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
@@ -128,14 +130,14 @@ def matrix_exponential(df: DataFrame, cols: list[str], t: float = 1.0, prefix: s
 
     def make(m):
         a = m * t
-        s = max(0, int(np.ceil(np.log2(max(1e-300, np.abs(a).sum(axis=2).max(initial=0.0))))) + 4)
-        a = a / 2.0**s
+        halvings = np.maximum(0, np.ceil(np.log2(np.maximum(1e-300, np.abs(a).sum(axis=2).max(axis=1)))).astype(int) + 4)  # each matrix has its own
+        a = a / 2.0 ** halvings[:, None, None]
         out = term = np.broadcast_to(np.eye(n), a.shape)
         for k in range(1, 14):
             term = term @ a / k
             out = out + term
-        for _ in range(s):
-            out = out @ out
+        for k in range(halvings.max(initial=0)):
+            out = np.where((halvings > k)[:, None, None], out @ out, out)
         return [out[:, i, j] for i in range(n) for j in range(n)]
 
     return _with(df, cols, make, [f"{prefix}{i}{j}" for i in range(n) for j in range(n)])

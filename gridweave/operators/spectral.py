@@ -171,6 +171,72 @@ def power_law_field(spark, grid: Grid, slope: float, seed: int = 1, snaps: int =
     return _back(cells.select("snap", *grid.axes, (F.randn(seed) * amp).alias("f_re"), (F.randn(seed + 1) * amp).alias("f_im")), grid, ("f",), "snap")
 
 
+def shell_filter_plane(df: DataFrame, grid: Grid, cols: tuple[str, ...], low: float, high: float, snap: str = "snap") -> DataFrame:
+    """In the plane: what stands in low <= |k| <= high, both ends included, k = 2 pi n / L as it is (bounds are not scaled)."""
+    t = transform(df, grid, cols, snap=snap)
+    k = F.sqrt(reduce(add, (x * x for x in angular(grid))))
+    inside = (k >= low) & (k <= high)
+    return _back(t.select(snap, *grid.axes, *(F.when(inside, F.col(f"{c}_{p}")).otherwise(0.0).alias(f"{c}_{p}") for c in cols for p in ("re", "im"))), grid, cols, snap)
+
+
+def _along(df: DataFrame, grid: Grid, cols: tuple[str, ...], axis: int, snap: str) -> DataFrame:
+    """Transform along one axis only, in slabs of another; {c}_re, {c}_im in and out."""
+    other = 1 if axis == 0 else 0
+    return _pass(df, grid, list(cols), other, (axis,), False, snap, SLAB, BATCHES)
+
+
+def sheared_power(df: DataFrame, grid: Grid, cols: tuple[str, ...], shear: float, time: float, snap: str = "snap") -> DataFrame:
+    """Power in a sheared box: transform along y, the phase exp(-i k_y S t x), then along x and z; columns as of `power`."""
+    d = df.select(snap, *(F.col(a).cast("int").alias(a) for a in grid.axes), *(x for c in cols for x in (F.col(c).cast("double").alias(f"{c}_re"), F.lit(0.0).alias(f"{c}_im"))))
+    d = _along(d, grid, cols, 1, snap)
+    turn = -(wavenumber(grid, 1) * (2 * math.pi / grid.side(1))) * (shear * time) * (F.col("x") * grid.spacing(0))
+    re = lambda c: F.col(f"{c}_re") * F.cos(turn) - F.col(f"{c}_im") * F.sin(turn)
+    im = lambda c: F.col(f"{c}_re") * F.sin(turn) + F.col(f"{c}_im") * F.cos(turn)
+    d = d.select(snap, *grid.axes, *(x for c in cols for x in (re(c).alias(f"{c}_re"), im(c).alias(f"{c}_im"))))
+    for axis in (0, *range(2, len(grid.dims))):
+        d = _along(d, grid, cols, axis, snap)
+    p = reduce(add, (F.col(f"{c}_re") * F.col(f"{c}_re") + F.col(f"{c}_im") * F.col(f"{c}_im") for c in cols))
+    return d.select(snap, *(wavenumber(grid, a).alias(f"k{x}") for a, x in enumerate(grid.axes)), p.alias("p"))
+
+
+def sheared_shells(spectrum: DataFrame, grid: Grid, shear: float, time: float, edges: list[float], snap: str = "snap") -> DataFrame:
+    """Sums over right-open bins of |k| with k_x + S t k_y for k_x, in angular units: snap, bin, power."""
+    k = [F.col(f"k{a}") * (2 * math.pi / grid.side(i)) for i, a in enumerate(grid.axes)]
+    k[0] = k[0] + k[1] * (shear * time)
+    r = F.sqrt(reduce(add, (x * x for x in k)))
+    b = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("_r"))) - 1
+    d = spectrum.withColumn("_r", r).select(snap, b.alias("bin"), "p").where((F.col("bin") >= 0) & (F.col("bin") < len(edges) - 1))
+    return d.groupBy(snap, "bin").agg(F.sum("p").alias("power"))
+
+
+def helical_mode(spark, grid: Grid, at: tuple[int, int, int], plus: float, minus: float) -> DataFrame:
+    """The real field f0, f1, f2 of one wavenumber with amplitudes of the two helical waves; `at` are frequency indices, not along z."""
+    n = [i - d if 2 * i >= d else i for i, d in zip(at, grid.dims, strict=True)]
+    k = np.array([x / grid.side(i) for i, x in enumerate(n)])
+    u = np.cross([0.0, 0.0, 1.0], k)
+    if not u.any():
+        raise ValueError("a helical mode needs a wavenumber across z")
+    first = np.cross(u, k)
+    second = np.cross(k, first)
+    first, second = first / np.linalg.norm(first), second / np.linalg.norm(second)
+    h = ((plus + minus) * first + 1j * (plus - minus) * second) / math.sqrt(2)
+    cells = spark.range(grid.cells).select(F.lit(0).cast("long").alias("snap"), *_axes_of(grid, F.col("id")))
+    here = reduce(lambda a, b: a & b, (F.col(a) == i for a, i in zip(grid.axes, at, strict=True)))
+    t = cells.select("snap", *grid.axes, *(F.when(here, float(v)).otherwise(0.0).alias(f"f{i}_{p}") for i in range(3) for p, v in (("re", h[i].real), ("im", h[i].imag))))
+    return _back(t, grid, ("f0", "f1", "f2"), "snap")
+
+
+def anisotropic_field(spark, grid: Grid, perp: float, para: float, seed: int = 1, snaps: int = 1) -> DataFrame:
+    """Random real fields f with amplitudes 10 k_perp^(-(perp + 1) / 2) k_para^(-para / 2) (k in cycles a cell, nothing at k_perp = 0 or k_para = 0) and random phases."""
+    cells = spark.range(snaps * grid.cells).select((F.col("id") / grid.cells).cast("long").alias("snap"), *_axes_of(grid, F.col("id") % grid.cells))
+    k = [wavenumber(grid, i) / grid.dims[i] for i in range(3)]
+    across, along = F.sqrt(k[0] * k[0] + k[1] * k[1]), F.abs(k[2])
+    amp = F.when((across == 0) | (along == 0), 0.0).otherwise(across ** (-(perp + 1) / 2) * along ** (-para / 2) * 10)
+    turn = F.rand(seed) * (2 * math.pi)
+    t = cells.select("snap", *grid.axes, amp.alias("_a"), turn.alias("_t")).select("snap", *grid.axes, (F.col("_a") * F.cos("_t")).alias("f_re"), (F.col("_a") * F.sin("_t")).alias("f_im"))
+    return _back(t, grid, ("f",), "snap")  # the real part: Hermitian amplitudes
+
+
 def _axes_of(grid: Grid, cell: Column) -> list[Column]:
     out, step = [], grid.cells
     for a, n in zip(grid.axes, grid.dims, strict=True):

@@ -15,12 +15,13 @@ from .stencil import divergence, gradient_tensor
 
 
 def log_bins(n: int) -> list[float]:
-    """Edges 1, 4, 4 * 2 ** (1/4) ... for a lattice of n cells a side."""
-    return [1.0, *(4.0 * 2 ** ((i - 1) / 4) for i in range(1, math.ceil(4 * math.log2(n / 8) + 2)))]
+    """Edges 1, then 4 * 2 ** ((i - 1) / 4) from i = 0 (3.364, 4, 4.757 ...) for a lattice of n cells a side."""
+    return [1.0, *(4.0 * 2 ** ((i - 1) / 4) for i in range( math.ceil(4 * math.log2(n / 8) + 2)))]
 
 
 def user_bins(low: float, high: float, n: int) -> list[float]:
-    return [low * (high / low) ** (i / (n - 1)) for i in range(n)]
+    """n edges in equal ratios; one edge is the lower bound."""
+    return [low * (high / low) ** (i / max(1, n - 1)) for i in range(n)]
 
 
 def shells_of(df: DataFrame, grid: Grid, cols: tuple[str, ...], edges: list[float], snap: str = "snap") -> DataFrame:

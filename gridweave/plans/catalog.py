@@ -121,7 +121,7 @@ SELECT l_orderkey, l_linenumber, round(l[1], 5) + 0.0 AS l0, round(l[2], 5) + 0.
 
 @query(_E3)
 def eig_symmetric_3(spark, sf_dir):
-    """E2, E7, E8, E9."""
+    """E2, E8, E9."""
     p = part(spark, sf_dir)
     p = p.select("l_orderkey", "l_linenumber", F.array(*eigen.symmetric(_sym(vec(*A), vec(*B)))).alias("l"))
     l = tuple(F.get("l", F.lit(i)) for i in range(3))
@@ -130,7 +130,7 @@ def eig_symmetric_3(spark, sf_dir):
 
 @query()
 def eig_vectors(spark, sf_dir):
-    """Batched LAPACK; tests check A v = l v."""
+    """Batched LAPACK; eig_residuals and tests check A v = l v."""
     p = part(spark, sf_dir).select("l_orderkey", "l_linenumber", *(F.col(_M[i][j]).alias(f"m{i}{j}") for i, j in _pairs))
     return eigen.eigenvectors_symmetric(p, [f"m{i}{j}" for i, j in _pairs])
 
@@ -281,7 +281,7 @@ def vorticity_terms(spark, sf_dir):
 
 @query()
 def frenet(spark, sf_dir):
-    """P7, P8."""
+    """P7."""
     return derived.frenet(lat8(spark, sf_dir), LAT8, _F3, stencil=4)
 
 
@@ -315,7 +315,7 @@ def power_spectrum(spark, sf_dir):
 
 @query(f"WITH {_DFTV} SELECT snap, sx::INT AS kx, sy::INT AS ky, sz::INT AS kz, {q('r0*r0 + i0*i0 + r1*r1 + i1*i1 + r2*r2 + i2*i2', 'p', 8)} FROM d")
 def power_spectrum_vector(spark, sf_dir):
-    """the sum over components."""
+    """the sum over components."""
     return spectral.power(emb3v(spark, sf_dir), EMB3, ("vx", "vy", "vz")).select("snap", "kx", "ky", "kz", r(F.col("p"), "p", 8))
 
 
@@ -377,21 +377,29 @@ def vector_potential(spark, sf_dir):
     return a.select("snap", "x", "y", "z", *(r(F.col(f"a{i}"), f"a{i}") for i in range(3)))
 
 
-@query()
+@query(f"WITH {_DFTV}, c AS (SELECT *, r0*r1 + i0*i1 + r1*r2 + i1*i2 AS re, i0*r1 - r0*i1 + i1*r2 - r1*i2 AS im FROM d) SELECT snap, sx::INT AS kx, sy::INT AS ky, sz::INT AS kz, {q('sqrt(re*re + im*im)', 'p')}, {q('re', 'p_re')} FROM c")
 def mixed_spectrum(spark, sf_dir):
-    """F6, F7."""
-    return spectral.mixed_power(emb3v(spark, sf_dir), EMB3, ("vx", "vy"), ("vy", "vz"))
+    """F7."""
+    s = spectral.mixed_power(emb3v(spark, sf_dir), EMB3, ("vx", "vy"), ("vy", "vz"))
+    return s.select("snap", "kx", "ky", "kz", r(F.col("p"), "p"), r(F.col("p_re"), "p_re"))
 
 
-@query()
+_SCALES = f"""WITH {_DFT},
+b AS (SELECT snap, floor((sqrt({" + ".join(f"{_C(a)} * {_C(a)}" for a in "xyz")}) - 0.5) / 0.75) AS bin, re * re + im * im AS p FROM d),
+s AS (SELECT snap, ceil(0.5 + (bin + 0.5) * 0.75)::BIGINT AS k, sum(p) AS p FROM b WHERE bin >= 0 AND bin < 2 GROUP BY snap, bin)
+SELECT snap, {q('sqrt(sum(p * k * k) / sum(p))', 'micro', 5)}, {q('sum(p * k) / sum(p)', 'energy', 5)}, {q('sum(p / k) / sum(p)', 'correlation', 5)}, max_by(k, p) AS peak FROM s GROUP BY snap"""
+
+
+@query(_SCALES)
 def spectrum_scales(spark, sf_dir):
     """F25."""
-    return spectral.scales(spectral.shells(spectral.power(emb3(spark, sf_dir), EMB3, ("f",)), EMB3))
+    s = spectral.scales(spectral.shells(spectral.power(emb3(spark, sf_dir), EMB3, ("f",)), EMB3))
+    return s.select("snap", *(r(F.col(c), c, 5) for c in ("micro", "energy", "correlation")), "peak")
 
 
 @query()
 def transfer_matrix(spark, sf_dir):
-    """X3, X4, X6, X7."""
+    """X3, and two of the terms of X4."""
     from ..operators.transfer import advection_transfer
 
     return advection_transfer(emb3v(spark, sf_dir), EMB3, ("vx", "vy", "vz"), ("vx", "vy", "vz"), [0.5, 1.2, 1.8, 3.5], stencil=2)
@@ -401,7 +409,7 @@ def transfer_matrix(spark, sf_dir):
 
 
 def _fof_sql(reach: float, least: int) -> str:
-    return f"""WITH RECURSIVE p AS (SELECT vec_id AS pid, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings WHERE vec_id < 500),
+    return f"""WITH RECURSIVE p AS (SELECT vec_id AS pid, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
 e AS (SELECT a.pid AS a, b.pid AS b FROM p a JOIN p b ON a.pid <> b.pid AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= {reach * reach!r}::DOUBLE),
 t(pid, root) AS (SELECT pid, pid FROM p UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.pid),
 c AS (SELECT pid, min(root) AS root FROM t GROUP BY pid),
@@ -437,10 +445,18 @@ def threshold_clusters(spark, sf_dir):
     return clustering.threshold_clusters(lat8(spark, sf_dir), LAT8, "qty", connectivity=6, least=2)
 
 
-@query()
+_MEAN = lambda a: f"(CASE WHEN t{a} < 0 THEN t{a} + 2 * pi() ELSE t{a} END) / (2 * pi())"
+_PROPS = f"""{_CC}, u AS (SELECT label, count(*) AS size, {", ".join(f"atan2(round(sum(sin({a} * pi() / 4)), 12), round(sum(cos({a} * pi() / 4)), 12)) AS t{a}" for a in "xyz")} FROM k WHERE label >= 0 GROUP BY label),
+v AS (SELECT label, size, {", ".join(f"{_MEAN(a)} AS c{a}" for a in "xyz")} FROM u),
+w AS (SELECT v.*, {", ".join(f"k.{a} / 8.0 - c{a} AS d{a}" for a in "xyz")} FROM k JOIN v USING (label))
+SELECT label, size, {", ".join(q(f"c{a}", f"c{a}", 5) for a in "xyz")}, {q("sqrt(avg(" + " + ".join(f"(d{a} - round(d{a})) * (d{a} - round(d{a}))" for a in "xyz") + "))", "radius", 5)} FROM w GROUP BY label, size, cx, cy, cz"""
+
+
+@query(_PROPS)
 def cluster_properties(spark, sf_dir):
-    """C10, C9."""
-    return clustering.properties(threshold_clusters(spark, sf_dir), LAT8)
+    """Sizes, circular centres, root-mean-square radius."""
+    p = clustering.properties(threshold_clusters(spark, sf_dir), LAT8)
+    return p.select("label", "size", *(r(F.col(c), c, 5) for c in ("cx", "cy", "cz", "radius")))
 
 
 @query(f"{_CC} SELECT label, count(*) AS size FROM k WHERE label >= 0 GROUP BY label ORDER BY size DESC, label LIMIT 3")
@@ -503,12 +519,13 @@ def block_lattice(spark, sf_dir):
 
 @query(f"WITH {LAT}, m AS (SELECT avg(qty) AS a FROM l) SELECT x, y, z, {q('qty - a', 'f')} FROM l, m")
 def remove_mean(spark, sf_dir):
-    """S4, S5."""
+    """S4."""
     d = lat8(spark, sf_dir)
     return d.crossJoin(F.broadcast(d.agg(F.avg("qty").alias("a")))).select("x", "y", "z", r(F.col("qty") - F.col("a"), "f"))  # the right side is one row
 
 
-@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem")
 def sort_particles(spark, sf_dir):
-    """O1."""
-    return clustering.positions(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct(), "l_orderkey", "l_linenumber")
+    """O1: every row, ties by part and supplier."""
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return clustering.positions(table(spark, sf_dir, "lineitem").select(*keys), *keys)
