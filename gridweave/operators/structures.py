@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import eigen
 from ..grid import PERIODIC, Grid
 from .clustering import _moved, closing, compact, components, connected, minimal_image, opening, shape_moments
+from .storage import cut
 
 
 def distinct_counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -49,7 +50,7 @@ def fill_holes(mask: DataFrame, grid: Grid, lattice: DataFrame) -> DataFrame:
     if all(grid.bc(i) == PERIODIC for i in range(len(grid.dims))):
         return mask.select(*grid.axes)
     empty = lattice.select(*grid.axes).join(mask.select(*grid.axes), list(grid.axes), "left_anti")
-    c = components(empty, grid, 2 * len(grid.dims))
+    c = cut(components(cut(empty), grid, 2 * len(grid.dims)))
     outside = c.where(edge).select("label").distinct()
     return mask.select(*(F.col(a).cast("int").alias(a) for a in grid.axes)).unionByName(c.join(outside, "label", "left_anti").select(*grid.axes))
 
@@ -57,7 +58,7 @@ def fill_holes(mask: DataFrame, grid: Grid, lattice: DataFrame) -> DataFrame:
 def filter_mask(mask: DataFrame, grid: Grid, lattice: DataFrame, thickness: int = 1, close: bool = False, least: int | None = None) -> DataFrame:
     """Opened (or closed) by `thickness`, holes filled, and components of fewer than `least` cells dropped (by default 8 thickness^d)."""
     m = (closing if close else opening)(mask, grid, thickness) if thickness > 0 else mask
-    m = fill_holes(m, grid, lattice)
+    m = cut(fill_holes(cut(m), grid, lattice))
     least = 8 * thickness ** len(grid.dims) if least is None else least
     return components(m, grid, 2 * len(grid.dims), least).where("label >= 0").select(*grid.axes) if least > 0 else m
 
