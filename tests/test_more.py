@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave.functions import eigen
-from gridweave.grid import NEUMANN, Grid
-from gridweave.operators import clustering, spectral, structures, transfer, waves
+from gridweave.grid import Grid
+from gridweave.operators import spectral, structures, transfer, waves
 
 
 def lattice(spark, values: np.ndarray, name: str = "f"):
@@ -62,17 +62,6 @@ def test_groups_take_points_of_any_number(spark):
     assert {r.pid - 700: r.label for r in got} == {i: rank[root[i]] for i in range(90)}
 
 
-def test_filter_fills_holes_and_drops_parts(spark):
-    grid = Grid((9, 9), 1.0, NEUMANN)
-    m = np.zeros((9, 9), bool)
-    m[1:6, 1:6] = True
-    m[3, 3] = False
-    m[7, 7] = True
-    lat = lattice(spark, m.astype(float))
-    got = structures.filter_mask(lat.where("f = 1").select("x", "y"), grid, lat, 0, least=4).collect()
-    assert {(r.x, r.y) for r in got} == {(i, j) for i in range(1, 6) for j in range(1, 6)}
-
-
 def test_shape_of_an_ellipsoid(spark):
     rng = np.random.default_rng(5)
     p = rng.normal(size=(400, 3)) * [3, 2, 1]
