@@ -1,12 +1,16 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
 Of every `w` consecutive k-gram hashes the smallest is kept, so two texts that share
-w + k - 1 words share a fingerprint. w + k - 1 is the length of the shortest benchmark window, so
-no shared window is missed; texts with a common fingerprint are then compared word by word.
+w + k - 1 words share a fingerprint. w + k - 1 is the length of a benchmark window, so no shared
+window is missed. Items shorter than a window are looked up apart, by the hash of their whole words,
+and change nothing for the others. Every fingerprint found in a document is then extended: the windows that
+hold its words, and only these, are compared word by word.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,18 +37,23 @@ def _span(n, size: int):
     return F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def fingerprints(w, k: int, window: int):
-    """The winnowed fingerprints of an array of words (a column), as distinct longs."""
+def word_grams(w, k: int):
+    """The hash of every k consecutive words, in order."""
 
     def gram(h):
-        return F.transform(_span(F.size(h), k), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))
+        return F.transform(_span(F.size(h), k), lambda i: F.xxhash64(F.lit(k), *(F.get(h, i + j) for j in range(k))))
+
+    return let(F.transform(w, lambda x: F.xxhash64(x)), gram)
+
+
+def fingerprints(w, k: int, window: int):
+    """The winnowed fingerprints of an array of words (a column), as longs."""
 
     def low(g):
         return F.transform(_span(F.size(g), window), lambda i: F.least(*(F.get(g, i + j) for j in range(window))))
 
-    h = F.transform(w, lambda x: F.xxhash64(x))
-    grams = let(h, gram) if k > 1 else h
-    return let(grams, low) if window > 1 else grams
+    g = word_grams(w, k)
+    return let(g, low) if window > 1 else g
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -66,33 +75,46 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     items = bench.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0).distinct()
     items = materialize(items.withColumn("len", F.least(F.size("w"), F.lit(window))), "items")
     lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # at most `window` values
-    t = lengths[0] if lengths else window
-    k = min(k, t)
-    span = t - k + 1
+    k = min(k, window)
+    reach = window - k
+    short = [n for n in lengths if n < window]
+
+    def marked(w):
+        """The fingerprints of long items' windows and the whole hashes of short ones."""
+        return F.array_distinct(F.concat(fingerprints(w, k, reach + 1), *(word_grams(w, n) for n in short)))
+
     wins = items.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda i: F.concat_ws(" ", F.slice(F.col("w"), i + 1, F.col("len"))))).alias("win"))  # items is a table: w is read, not computed
     wins = materialize(wins.groupBy("win").agg(F.collect_set("item").alias("items")), "windows")
-    marks = materialize(items.select(F.explode(fingerprints(F.col("w"), k, span)).alias("fp")).distinct(), "marks")
+    long = items.where(F.size("w") >= window).select(F.explode(fingerprints(F.col("w"), k, reach + 1)).alias("fp"))
+    whole = [items.where(F.size("w") == n).select(F.explode(word_grams(F.col("w"), n)).alias("fp")) for n in short]
+    marks = materialize(reduce(DataFrame.unionByName, whole, long).distinct(), "marks")
     # the fingerprints of every text, once
-    base = d.withColumn("w", words(F.col("text"))).select("id", "tk", F.size("w").cast("long").alias("n_words"), F.array_distinct(fingerprints(F.col("w"), k, span)).alias("fps"))
+    base = d.withColumn("w", words(F.col("text"))).select("id", "tk", F.size("w").cast("long").alias("n_words"), marked(F.col("w")).alias("fps"))
     base = materialize(base, "base")
     cand = materialize(base.select("tk", F.explode("fps").alias("fp")).join(_small(marks), "fp", "left_semi").select("tk").distinct(), "cand")
     rows = base.select("id", "tk", "n_words")
     counts = base.groupBy("tk").count()
     least = max(64, base.count() // 200)
     hot = [r[0] for r in counts.where(F.col("count") >= least).select("tk").collect()]  # at most 200
-    # candidates, word by word; equal texts once
+    # candidates, from each fingerprint outwards; equal texts once
     text = wide_join(may_be_in(d.select("tk", "text"), "tk", cand), cand, "tk").groupBy("tk").agg(F.max("text").alias("text"))
-
-    def spans(w):
-        def of(n):
-            return F.transform(_span(F.size(w), n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.concat_ws(" ", F.slice(w, i + 1, n)).alias("win")))
-
-        return F.flatten(F.array(*map(of, lengths)))
+    text = materialize(text.select("tk", words(F.col("text")).alias("w")), "texts")
+
+    def found(n: int):
+        """Starts of the windows of n words to compare, one row a text."""
+        size, back = (k, reach) if n == window else (n, 0)
+        at = text.select("tk", F.size("w").alias("_size"), F.posexplode(word_grams(F.col("w"), size)).alias("pos", "fp"))
+        at = at.join(_small(marks), "fp", "left_semi").where(F.col("_size") >= n)
+        starts = F.sequence(F.greatest(F.col("pos") - back, F.lit(0)), F.least(F.col("pos"), F.col("_size") - n))
+        at = at.where(F.greatest(F.col("pos") - back, F.lit(0)) <= F.least(F.col("pos"), F.col("_size") - n)).select("tk", F.explode(starts).alias("pos"))
+        at = at.groupBy("tk").agg(F.collect_set("pos").alias("starts"))
+        w = wide_join(text, at, "tk")
+        return w.select("tk", F.lit(n).alias("len"), F.explode(F.transform("starts", lambda i: F.struct(i.alias("pos"), F.concat_ws(" ", F.slice("w", i + 1, n)).alias("win")))).alias("s")).select("tk", "s.pos", "len", "s.win")
 
     if not lengths:
         res = d.select("tk", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("list")).limit(0)
     else:
-        hits = text.select("tk", F.explode(let(words(F.col("text")), spans)).alias("s")).select("tk", "s.pos", "s.len", "s.win").join(_small(wins), "win")
+        hits = reduce(DataFrame.unionByName, map(found, lengths)).join(_small(wins), "win")
         hits = materialize(hits.select("tk", "pos", "len", "items"), "hits")
         by = Window.partitionBy("tk").orderBy("pos", "len")
         seen = F.max(F.col("pos") + F.col("len")).over(by.rowsBetween(Window.unboundedPreceding, -1))
