@@ -59,15 +59,6 @@ MAPPINGS = (
 )
 
 
-def type_paths(kind: T.DataType, at: str = "") -> list[str]:
-    """The leaf field paths of a type, sorted."""
-    if isinstance(kind, T.StructType):
-        return sorted(p for f in kind.fields for p in type_paths(f.dataType, f"{at}.{f.name}" if at else f.name))
-    if isinstance(kind, T.ArrayType):
-        return type_paths(kind.elementType, f"{at}[]")
-    return [at]
-
-
 def _tree(paths) -> dict:
     tree: dict = {}
     for p in paths:
@@ -110,12 +101,14 @@ def _turn(m: Mapping):
 def canonical_turns(records: DataFrame, id_col: str, record_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """JSON records -> (id, layout, fingerprint, pos, role, text), one row a turn.
 
-    `record_col` is JSON text. Records that do not parse or have an unknown layout give one row with a
+    `record_col` is JSON text or a struct. Records that do not parse or have an unknown layout give one row with a
     null layout, role and text, so that nothing is lost unseen. Null texts become empty, null roles
     empty, and roles are renamed as the mapping says. Empty lists of turns give no row. Columns other
     than the two named are ignored.
     """
-    r = records.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(record_col).cast("string")).alias("v"))
+    is_struct = isinstance(records.schema[record_col].dataType, T.StructType)
+    v = F.to_variant_object(record_col) if is_struct else F.try_parse_json(F.col(record_col).cast("string"))
+    r = records.select(F.col(id_col).alias("id"), v.alias("v"))
     r = r.withColumn("fingerprint", F.xxhash64(record_skeleton(F.col("v"))))
     known = [(m, F.xxhash64(F.lit(skeleton(m.paths)))) for m in mappings]
     turn = "array<struct<role string, text string>>"
@@ -135,10 +128,15 @@ def canonical_turns(records: DataFrame, id_col: str, record_col: str, mappings:
 
 
 def turn_rows(rows: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Rows that are turns already: the layout is that of their columns, and its fingerprint picks the mapping."""
-    paths = type_paths(rows.select(F.col(role_col).alias("role"), F.col(text_col).alias("text")).schema)
-    mapping = next(m for m in mappings if skeleton(m.paths) == skeleton(paths))
-    return rows.select(F.col(id_col).alias(id_col), F.col(turn_col).alias("pos"), _roles(mapping, F.col(role_col)).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Rows that are turns already -> (id, pos, role, text): each goes as a record of role and text through `canonical_turns`.
+
+    Null texts and roles become empty; repeated rows are repeated turns; other columns are ignored; an empty table gives no
+    rows. A record of more than 128 MiB is over what a variant holds and is an error.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.col(turn_col).alias("pos"))
+    records = rows.select(key.alias("key"), F.struct(F.col(role_col).alias("role"), F.col(text_col).alias("text")).alias("record"))
+    t = canonical_turns(records, "key", "record", mappings)
+    return t.select(F.col("key.id").alias(id_col), F.col("key.pos").alias("pos"), "role", "text")
 
 
 def escape(text: Column) -> Column:
