@@ -183,22 +183,43 @@ def _context(m: dict, inputs: np.ndarray, row: np.ndarray):
     return q, pos, start
 
 
+def _order(idx: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0, by 16 bits at a time, which numpy sorts by radix."""
+    order = np.argsort(idx.astype(np.uint16), kind="stable")
+    if len(idx) and idx.max() >> 16:
+        order = order[np.argsort((idx >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def _sums(idx: np.ndarray, g: np.ndarray):
     """The distinct numbers in idx, and the sum of g's rows of each."""
-    order = np.argsort(idx, kind="stable")
+    order = _order(idx)
     idx = idx[order]
     new = np.flatnonzero(np.concatenate(([True], idx[1:] != idx[:-1])))
     return idx[new], np.add.reduceat(g[order], new, axis=0)
 
 
-def _step(m: dict, acc: dict, k: str, idx: np.ndarray, g: np.ndarray, n: int) -> None:
-    """Adds up the gradients of the rows that occur and moves only those."""
-    if not len(idx):
-        return
-    u, g = _sums(idx, g)
-    g /= n
-    acc[k][u] += g * g
-    m[k][u] -= (RATE * g / np.sqrt(acc[k][u])).astype(np.float32)
+def _outer_sums(idx: np.ndarray, e: np.ndarray, q: np.ndarray):
+    """As _sums of the rows e[i, j] * q[i] of the numbers idx[i, j], a column of q at a time, without those rows."""
+    flat = idx.ravel()
+    order = _order(flat)
+    found = flat[order]
+    new = np.concatenate(([True], found[1:] != found[:-1]))
+    place = np.empty(len(flat), np.int64)
+    place[order] = np.cumsum(new) - 1
+    found = found[new]
+    g, e = np.empty((q.shape[1], len(found)), np.float32), e.astype(np.float64)
+    for j, col in enumerate(np.ascontiguousarray(q.T)):
+        g[j] = np.bincount(place, (e * col[:, None]).ravel(), len(found))
+    return found, g.T
+
+
+def _step(m: dict, acc: dict, k: str, u: np.ndarray, g: np.ndarray, n: int) -> None:
+    """Moves only the rows u that occur, by the sums g of their gradients."""
+    g = g / np.float32(n)
+    a = acc[k][u] + g * g
+    acc[k][u] = a
+    m[k][u] -= RATE * g / np.sqrt(a)
 
 
 def train(m: dict, acc: dict, vocab: Vocabulary, ids: np.ndarray, member: np.ndarray, row: np.ndarray, rng) -> None:
@@ -244,9 +265,9 @@ def train(m: dict, acc: dict, vocab: Vocabulary, ids: np.ndarray, member: np.nda
         x = x / n
         acc[k] += x * x
         m[k] -= (RATE * x / np.sqrt(acc[k])).astype(np.float32)
-    _step(m, acc, "E", inputs, g, n)
+    _step(m, acc, "E", *_sums(inputs, g), n)
     if len(t):
-        _step(m, acc, "R2", both.ravel(), (e2[:, :, None] * q1[:, None, :]).reshape(-1, DIM + 1), n)
+        _step(m, acc, "R2", *_outer_sums(both, e2, q1), n)
 
 
 def _batched(batches, vocab: Vocabulary):
@@ -316,7 +337,11 @@ def _average(batches):
 
 def log_probs(m: dict, vocab: Vocabulary, ids: np.ndarray, member: np.ndarray, row: np.ndarray) -> np.ndarray:
     """log10 probability of each token's class, normalised over all classes, and of its member, over those of the class."""
-    q = _context(m, _inputs(ids, member), row)[0]
+    inputs, q = _inputs(ids, member), np.empty((len(ids), DIM), np.float32)
+    ends = np.append(np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), row[1:] != row[:-1]))), len(row))
+    cut = np.unique(ends[np.searchsorted(ends, np.append(np.arange(0, len(row), BATCH), len(row)))])  # whole texts, few at a time: their vectors stay in the cache
+    for s, e in zip(cut[:-1], cut[1:], strict=True):
+        q[s:e] = _context(m, inputs[s:e], row[s:e])[0]
     rt = np.concatenate((m["R"].T, m["b"][None]))
     q = _one(q)
     ones = np.ones(len(m["R"]), np.float32)
