@@ -91,3 +91,18 @@ def stream_velocity(df: DataFrame, grid: Grid, psi: str, keys=(), stencil: int =
 
 def momentum(rho: Column, v):
     return scale(v, rho)
+
+
+def fused_magnitude(df: DataFrame, comps: tuple[str, ...], name: str, centred: bool = False, zero_mean: bool = False) -> DataFrame:
+    """Adds the magnitude of a vector; `centred` takes the mean from each component first, `zero_mean` the mean from the magnitude.
+
+    Each mean is one aggregation, whose single row is broadcast. Rows with a null component get null and do not count in the magnitude's mean.
+    """
+
+    def mean(d: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+        return d.crossJoin(F.broadcast(d.agg(*(F.avg(c).alias(f"_m_{c}") for c in cols))))  # the right side is one row
+
+    d = mean(df, comps) if centred else df
+    parts = [F.col(c) - F.col(f"_m_{c}") if centred else F.col(c) for c in comps]
+    d = d.withColumn(name, F.sqrt(reduce(add, (x * x for x in parts)))).drop(*(f"_m_{c}" for c in comps))
+    return mean(d, (name,)).withColumn(name, F.col(name) - F.col(f"_m_{name}")).drop(f"_m_{name}") if zero_mean else d

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import eigen
 from ..functions.vector import dot, vec
-from ..operators import clustering, spectral, structures, waves
+from ..operators import clustering, derived, orbits, spectral, structures, waves
 from ..sources.tables import EMB3, EVT2, LAT8, emb3, emb3v, evt2, lat8, part, points, table
 from .catalog import LAT, ORACLES, PART, QUERIES, q, query, r, threshold_clusters
 
@@ -182,3 +182,23 @@ def cluster_profiles(spark, sf_dir):
     """C20."""
     c = clustering.properties(threshold_clusters(spark, sf_dir), LAT8)
     return structures.cluster_profiles(lat8(spark, sf_dir), LAT8, ("qty", "price"), c, 4, 2.0)
+
+
+@query(f"""WITH {PART}, m AS (SELECT avg(ax) AS mx, avg(ay) AS my, avg(az) AS mz FROM p)
+SELECT l_orderkey, l_linenumber, {q('sqrt((ax - mx) * (ax - mx) + (ay - my) * (ay - my) + (az - mz) * (az - mz))', 'f', 5)} FROM p, m""")
+def centred_magnitude(spark, sf_dir):
+    """The magnitude of a vector without its mean."""
+    d = derived.fused_magnitude(part(spark, sf_dir), _AX, "f", centred=True)
+    return d.select("l_orderkey", "l_linenumber", r(F.col("f"), "f", 5))
+
+
+@query(f"""WITH {EVT}, p AS (SELECT vec_id AS pid, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py FROM embeddings),
+a AS (SELECT pid, abs(px) <= 0.1 AND abs(py) <= 0.5 AS near, (px + 0.5) * 8 AS u, (py + 0.5) * 8 AS v FROM p),
+c AS (SELECT pid, (floor(u)::BIGINT + i) % 8 AS x, (floor(v)::BIGINT + j) % 8 AS y, (CASE i WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * (CASE j WHEN 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS w
+  FROM a, range(2) s(i), range(2) t(j) WHERE near),
+g AS (SELECT pid, sum(w * f) AS f FROM c JOIN k USING (x, y) GROUP BY pid)
+SELECT pid, {q('coalesce(g.f, 0)', 'f')} FROM a LEFT JOIN g USING (pid)""")
+def sheet_interpolation(spark, sf_dir):
+    """A field at the places of all vectors, zero outside the sheet."""
+    p = points(spark, sf_dir).select("pid", F.col("x").alias("px"), F.col("y").alias("py"))
+    return orbits.bilinear(p, evt2(spark, sf_dir), EVT2, ("f",)).select("pid", r(F.col("f"), "f"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import eigen
 from gridweave.grid import Grid
-from gridweave.operators import spectral, structures, transfer, waves
+from gridweave.operators import derived, orbits, spectral, structures, transfer, waves
 
 
 def lattice(spark, values: np.ndarray, name: str = "f"):
@@ -131,3 +131,31 @@ def test_critical_points(spark):
     d = spark.createDataFrame([(0.0, -4.0, 1.0, 0.0, -1.0, 0.0, 0.0, 2.0), (0.0, 4.0, 0.0, -1.0, 0.0, 1.0, 2.0, 0.0), (1.0, 4.0, 0.5, -1.0, 0.5, 1.0, 2.0, 0.0)], cols)
     got = [[k for k in waves.KINDS if r[k]] for r in waves.critical_points(d).collect()]
     assert got == [["x_2d"], ["o_2d"], ["o_3d_repelling"]]
+
+
+def test_bilinear_interpolation_wraps_masks_and_keeps_nulls(spark):
+    f = np.arange(16.0).reshape(4, 4) ** 2
+    p = spark.createDataFrame([(1, -0.5, -0.5), (2, 0.05, 0.1), (3, 0.49, 0.3), (4, None, 0.1), (5, 0.9, 0.0)], "pid long, px double, py double")
+    inside = lambda bcs, sheet: {r.pid: r.f for r in orbits.bilinear(p, lattice(spark, f), Grid((4, 4), 1.0, bcs), ("f",), sheet).collect()}
+
+    def want(x, y):
+        u, v = (x + 0.5) * 4, (y + 0.5) * 4
+        i, j = math.floor(u), math.floor(v)
+        return sum((u - i if a else 1 - u + i) * (v - j if b else 1 - v + j) * f[(i + a) % 4, (j + b) % 4] for a in (0, 1) for b in (0, 1))
+
+    got = inside("periodic", None)
+    assert got[4] is None
+    for k, x, y in ((1, -0.5, -0.5), (2, 0.05, 0.1), (3, 0.49, 0.3), (5, 0.9, 0.0)):
+        assert got[k] == pytest.approx(want(x, y))
+    got = inside("neumann", (0.1, 0.5))
+    assert got[2] == pytest.approx(want(0.05, 0.1)) and (got[1], got[3], got[5]) == (0, 0, 0) and got[4] is None
+    got = inside("neumann", None)
+    assert got[1] == f[0, 0] and got[3] is None and got[5] is None
+
+
+def test_fused_magnitude_takes_means_from_components_and_magnitude(spark):
+    v = np.array([[1.0, 2.0], [3.0, -1.0], [0.5, 4.0]])
+    d = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(v)] + [(9, None, 1.0)], "i int, a double, b double")
+    got = {r.i: r.m for r in derived.fused_magnitude(d, ("a", "b"), "m", True, True).collect()}
+    m = np.hypot(v[:, 0] - v[:, 0].mean(), v[:, 1] - np.append(v[:, 1], 1.0).mean())
+    assert got.pop(9) is None and [got[i] for i in range(3)] == pytest.approx(list(m - m.mean()))
