@@ -159,3 +159,10 @@ def test_fused_magnitude_takes_means_from_components_and_magnitude(spark):
     got = {r.i: r.m for r in derived.fused_magnitude(d, ("a", "b"), "m", True, True).collect()}
     m = np.hypot(v[:, 0] - v[:, 0].mean(), v[:, 1] - np.append(v[:, 1], 1.0).mean())
     assert got.pop(9) is None and [got[i] for i in range(3)] == pytest.approx(list(m - m.mean()))
+
+
+def test_holes_are_filled_inside_a_border(spark):
+    ring = [(x, y) for x in range(2, 7) for y in range(2, 7) if x in (2, 6) or y in (2, 6)]
+    lat = spark.createDataFrame([(x, y) for x in range(9) for y in range(9)], "x int, y int")
+    got = structures.fill_holes(spark.createDataFrame(ring, "x int, y int"), Grid((9, 9), 1.0, ("periodic", "neumann")), lat)
+    assert {tuple(r) for r in got.collect()} == {(x, y) for x in range(2, 7) for y in range(2, 7)}
