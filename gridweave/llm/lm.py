@@ -40,17 +40,21 @@ NOISE, BATCH, RATE = 64, 4096, 0.1
 #: Tokens scored at a time, so that their probabilities of all classes stay in the processor's cache.
 SCORE_ROWS = 512
 END = np.uint64(0x656E64206F662074)
+#: Logits times this go to powers of 2, which numpy has faster than those of e.
+LOG2E = np.float32(np.log2(np.e))
 _BUFFER = 4 << 20
 _TABLES = ("E", "R", "b", "R2")
+#: The spelling class of a word's last two bytes.
+_SPELLING = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(CLASSES)).astype(np.int32)
+_UP_TO = np.tril(np.ones((32, 32), np.float32))
 
 
 def tokens(data: np.ndarray, off: np.ndarray):
     """(hash, spelling class, row) of all tokens of a piece of texts; every text ends with END."""
     h, first, s, e = word_hashes(data, off)
-    low = _LOWER[data]
-    last = low[e - 1].astype(np.uint64) if len(e) else np.zeros(0, np.uint64)
-    prev = np.where(e - s > 1, low[np.maximum(e - 2, 0)], 0).astype(np.uint64) if len(e) else last
-    cls = (mix(last * np.uint64(256) + prev) % np.uint64(CLASSES)).astype(np.int32)
+    last = _LOWER[data[e - 1]].astype(np.int32) if len(e) else np.zeros(0, np.int32)
+    prev = np.where(e - s > 1, _LOWER[data[np.maximum(e - 2, 0)]], 0) if len(e) else last
+    cls = _SPELLING[last * 256 + prev]
     n = len(off) - 1
     row = np.repeat(np.arange(n), np.diff(first))
     # an END after each text's words
@@ -71,8 +75,10 @@ def _counter(batches):
 
     def out():
         h, c = np.concatenate(hs), np.concatenate(cs)
-        u, first, n = np.unique(h, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c[first]), pa.array(n)], names=["h", "cls", "c"])
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(c[order[first]]), pa.array(np.diff(np.append(first, len(h))))], names=["h", "cls", "c"])
 
     for b in batches:
         for p in pieces(b, "text"):
@@ -86,6 +92,21 @@ def _counter(batches):
         yield out()
 
 
+def _aliases(share: np.ndarray, start: np.ndarray):
+    """Alias tables: a uniform slot of a class stands for itself with probability keep, else for other, so members come up by share."""
+    keep, other = np.ones(len(share)), np.arange(len(share))
+    for low, high in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+        p = (share[low:high] * (high - low)).tolist()
+        small, large = [i for i, x in enumerate(p) if x < 1], [i for i, x in enumerate(p) if x >= 1]
+        while small and large:
+            i, j = small.pop(), large[-1]
+            keep[low + i], other[low + i] = p[i], low + j
+            p[j] -= 1 - p[i]
+            if p[j] < 1:
+                small.append(large.pop())
+    return keep, other
+
+
 class Vocabulary:
     """Counts of the most frequent words, sorted by hash, and what is needed to smooth the rest."""
 
@@ -116,9 +137,15 @@ class Vocabulary:
         self.share = share / np.repeat(total, per + 1)
         self.in_rest = np.log10(rest)
         self.member_shift = np.log(MEMBER_NOISE * self.share).astype(np.float32)
-        self.noise_sums = np.cumsum(self.share)
+        self.keep, self.other = _aliases(self.share, self.start)
+        # sorted by hash, and what tokens get that are not held; a hash's first bits tell where to begin
         order = np.argsort(h)
-        self.h, self.c, self.id, self.member = h[order], c[order], ids[order], member[order]
+        self.h = np.append(h[order], ~np.uint64(0))
+        self.c = np.append(c[order], -1)
+        self.id = np.append(np.where(ids < 0, 1 + WORDS + cls, ids)[order], -1)
+        self.member = np.append(np.where(ids < 0, np.where(member < 0, self.start[cls + 1] - 1, member), -1)[order], -1)
+        self.bits = np.uint64(64 - max(1, len(h)).bit_length() - 1)
+        self.first = np.searchsorted(self.h[:-1], np.arange(1 << (64 - int(self.bits)), dtype=np.uint64) << self.bits)
         self.n, self.v = n, v
         self.words = len(own)
         self.size = 1 + WORDS + CLASSES
@@ -133,17 +160,20 @@ class Vocabulary:
 
     def look(self, h: np.ndarray, cls: np.ndarray):
         """(class id, member or -1, count or -1 if not held, whether the token has a class of its own)."""
-        if not len(self.h):
-            own = h == END
-            return np.where(own, 0, 1 + WORDS + cls).astype(np.int32), np.where(own, -1, self.start[cls + 1] - 1), np.full(len(h), -1), own
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        held = self.h[at] == h
-        ids = np.where(held, self.id[at], -1)
-        own = (ids >= 0) | (h == END)
-        ids = np.where(own, np.maximum(ids, 0), 1 + WORDS + cls)
-        member = np.where(held, self.member[at], -1)
-        member = np.where(own, -1, np.where(member >= 0, member, self.start[cls + 1] - 1))
-        return ids.astype(np.int32), member, np.where(held, self.c[at], -1), own
+        at = self.first[h >> self.bits]
+        for _ in range(2):
+            at += self.h[at] < h
+        left = np.flatnonzero(self.h[at] < h)
+        while len(left):
+            at[left] += 1
+            left = left[self.h[at[left]] < h[left]]
+        new = np.flatnonzero((self.h[at] != h) | (at == len(self.h) - 1))
+        at[new] = len(self.h) - 1
+        ids, member = self.id[at], self.member[at]
+        ids[new], member[new] = 1 + WORDS + cls[new], self.start[cls[new] + 1] - 1
+        end = new[h[new] == END]
+        ids[end], member[end] = 0, -1
+        return ids, member, self.c[at], member < 0
 
     def shapes(self) -> dict[str, tuple[int, ...]]:
         """The tables' shapes. E: three vectors for each input, first the words with a class of their own (the end is 0), then the members; R2: a member's vector and bias."""
@@ -167,19 +197,33 @@ def _one(q: np.ndarray) -> np.ndarray:
     return np.concatenate((q, np.ones((len(q), 1), np.float32)), axis=1)
 
 
+def _running(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows before each row, and of all (len + 1): 32 rows at a time by a product, those before them in double."""
+    n, d = x.shape
+    rows = np.zeros((n // 32 + 1, 32, d), np.float32)
+    rows.reshape(-1, d)[1 : n + 1] = x
+    rows, before = np.matmul(_UP_TO, rows), np.zeros((len(rows), 1, d))
+    np.cumsum(rows[:-1, -1], axis=0, out=before[1:, 0])
+    return (rows + before).reshape(-1, d)[: n + 1]
+
+
 def _context(m: dict, inputs: np.ndarray, row: np.ndarray):
     """Context vectors of all tokens of whole texts, given by input rows; the number of tokens so far; where texts start."""
     n = len(inputs)
     start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     size = np.diff(np.append(start, n))
     pos = np.arange(n) - np.repeat(start, size)
-    e = m["E"][inputs]
-    sums = np.zeros((DIM, n + 1), np.float64)
-    np.cumsum(np.ascontiguousarray(e[:, 2 * DIM :].T), axis=1, dtype=np.float64, out=sums[:, 1:])
-    q = ((sums[:, :-1] - np.repeat(sums[:, start], size, axis=1)) / np.maximum(pos, 1)).astype(np.float32).T.copy()
-    for back in (1, 2):
-        x = e[: n - back, (back - 1) * DIM : back * DIM]
-        q[back:] += np.where((pos[back:] >= back)[:, None], x, np.float32(0)) if len(start) > 1 else x
+    e = m["E"].take(inputs, axis=0)
+    # nothing goes to the next text; a first text of one token makes last - 1 the batch's last token, which is a last one too
+    last = start + size - 1
+    e[last, : 2 * DIM] = 0
+    e[last - 1, DIM : 2 * DIM] = 0
+    sums = _running(e[:, 2 * DIM :])
+    mean = sums[:-1] - np.repeat(sums[start], size, axis=0) if len(start) > 1 else sums[:-1]
+    mean *= (1 / np.maximum(pos, 1))[:, None]
+    q = mean.astype(np.float32)
+    q[1:] += e[:-1, :DIM]
+    q[2:] += e[:-2, DIM : 2 * DIM]
     return q, pos, start
 
 
@@ -191,35 +235,78 @@ def _order(idx: np.ndarray) -> np.ndarray:
     return order
 
 
+def _places(idx: np.ndarray):
+    """The distinct numbers in idx, and the place of each among them."""
+    seen = np.zeros(int(idx.max()) + 1, bool)
+    seen[idx] = True
+    found, at = np.flatnonzero(seen), np.empty(len(seen), np.int64)
+    at[found] = np.arange(len(found))
+    return found, at[idx]
+
+
 def _sums(idx: np.ndarray, g: np.ndarray):
-    """The distinct numbers in idx, and the sum of g's rows of each."""
-    order = _order(idx)
-    idx = idx[order]
-    new = np.flatnonzero(np.concatenate(([True], idx[1:] != idx[:-1])))
-    return idx[new], np.add.reduceat(g[order], new, axis=0)
+    """The distinct numbers in idx, and the sum of g's rows of each, a column at a time."""
+    found, place = _places(idx)
+    out = np.empty((g.shape[1], len(found)), np.float32)
+    for j, col in enumerate(np.ascontiguousarray(g.T)):
+        out[j] = np.bincount(place, col, len(found))
+    return found, out.T
 
 
 def _outer_sums(idx: np.ndarray, e: np.ndarray, q: np.ndarray):
     """As _sums of the rows e[i, j] * q[i] of the numbers idx[i, j], a column of q at a time, without those rows."""
-    flat = idx.ravel()
-    order = _order(flat)
-    found = flat[order]
-    new = np.concatenate(([True], found[1:] != found[:-1]))
-    place = np.empty(len(flat), np.int64)
-    place[order] = np.cumsum(new) - 1
-    found = found[new]
-    g, e = np.empty((q.shape[1], len(found)), np.float32), e.astype(np.float64)
-    for j, col in enumerate(np.ascontiguousarray(q.T)):
-        g[j] = np.bincount(place, (e * col[:, None]).ravel(), len(found))
+    found, place = _places(idx.T.ravel())
+    g, e = np.empty((q.shape[1], len(found)), np.float32), np.ascontiguousarray(e.T, np.float64)
+    held = np.empty_like(e)
+    for j, col in enumerate(np.ascontiguousarray(q.T, np.float64)):
+        g[j] = np.bincount(place, np.multiply(e, col, out=held).ravel(), len(found))
     return found, g.T
 
 
 def _step(m: dict, acc: dict, k: str, u: np.ndarray, g: np.ndarray, n: int) -> None:
     """Moves only the rows u that occur, by the sums g of their gradients."""
-    g = g / np.float32(n)
-    a = acc[k][u] + g * g
+    g = np.divide(g, np.float32(n), order="C")
+    a = acc[k].take(u, axis=0)
+    a += g * g
     acc[k][u] = a
-    m[k][u] -= RATE * g / np.sqrt(a)
+    g *= RATE
+    g /= np.sqrt(a, out=a)
+    w = m[k].take(u, axis=0)
+    w -= g
+    m[k][u] = w
+
+
+def _draw(vocab: Vocabulary, k: np.ndarray, rng) -> np.ndarray:
+    """MEMBER_NOISE members (rows) of each token's spelling class k, by share."""
+    low = vocab.start[k]
+    x = rng.random((MEMBER_NOISE, len(k))) * (vocab.start[k + 1] - low)
+    at = x.astype(np.int64)
+    x -= at
+    at += low
+    return np.where(x < vocab.keep[at], at, vocab.other[at])
+
+
+def _input_sums(inputs: np.ndarray, dq: np.ndarray, pos: np.ndarray, start: np.ndarray):
+    """What each input row gets back from the next token, the one after it, and (by the mean) all later ones of its text; as _sums of these."""
+    n, d = dq.shape
+    found, place = _places(inputs)
+    size = np.diff(np.append(start, n))
+    g = np.empty((3 * d, len(found)), np.float32)
+    dq = np.ascontiguousarray(dq.T, np.float64)
+    later = np.cumsum(dq * np.where(pos > 0, 1 / np.maximum(pos, 1), 0), axis=1)
+    later = np.subtract(np.repeat(later[:, start + size - 1], size, axis=1), later, out=later)
+    # the rows to which a token gives by distance; a place behind the last takes what has none
+    to = []
+    for back in (1, 2):
+        x = np.full(n, len(found))
+        x[back:] = place[: n - back]
+        x[pos < back] = len(found)
+        to.append(x)
+    for j in range(d):
+        g[j] = np.bincount(to[0], dq[j], len(found) + 1)[:-1]
+        g[d + j] = np.bincount(to[1], dq[j], len(found) + 1)[:-1]
+        g[2 * d + j] = np.bincount(place, later[j], len(found))
+    return found, g.T
 
 
 def train(m: dict, acc: dict, vocab: Vocabulary, ids: np.ndarray, member: np.ndarray, row: np.ndarray, rng) -> None:
@@ -227,47 +314,43 @@ def train(m: dict, acc: dict, vocab: Vocabulary, ids: np.ndarray, member: np.nda
     size, n = vocab.size, len(ids)
     inputs = _inputs(ids, member)
     q, pos, start = _context(m, inputs, row)
+    q1 = _one(q)
     noise = rng.choice(size, NOISE, p=vocab.noise)
-    shift = np.log(NOISE * vocab.noise).astype(np.float32)
-    rt = m["R"][ids]
-    e = (1 / (1 + np.exp(-(np.einsum("ij,ij->i", q, rt) + m["b"][ids] - shift[ids]))) - 1).astype(np.float32)
-    en = 1 / (1 + np.exp(-(q @ m["R"][noise].T + (m["b"] - shift)[noise])))
-    dq = e[:, None] * rt + en @ m["R"][noise]
-    gr, gb = np.zeros((size, DIM)), np.bincount(ids, e, size)
-    u, g = _sums(ids, e[:, None] * q)
-    gr[u] = g
-    np.add.at(gr, noise, en.T @ q)
-    np.add.at(gb, noise, en.sum(axis=0))
+    bias = m["b"] - np.log(NOISE * vocab.noise).astype(np.float32)
+    rt = m["R"].take(ids, axis=0)
+    e = (1 / (1 + np.exp(-(np.einsum("ij,ij->i", q, rt) + bias[ids]))) - 1).astype(np.float32)
+    dq = rt
+    dq *= e[:, None]
+    gr, at, e = np.empty((DIM + 1, size)), ids.astype(np.int64, copy=False), e.astype(np.float64)
+    for j, col in enumerate(np.ascontiguousarray(q1.T, np.float64)):
+        gr[j] = np.bincount(at, e * col, size)
+    rn = m["R"][noise]
+    to_noise, back = -LOG2E * np.concatenate((rn.T, bias[noise][None])), np.zeros((DIM + 1, NOISE), np.float32)
+    for s in range(0, n, SCORE_ROWS):
+        t = q1[s : s + SCORE_ROWS]
+        en = t @ to_noise
+        np.exp2(en, out=en)
+        en += 1
+        np.reciprocal(en, out=en)
+        dq[s : s + SCORE_ROWS] += en @ rn
+        back += t.T @ en
+    u, g = _sums(noise, back.T)
+    gr[:, u] += g.T
     # members: noise of the token's own class, by share
     t = np.flatnonzero(member >= 0)
-    qt, right = q[t], member[t]
-    k = ids[t] - 1 - WORDS
-    low, high = vocab.start[k], vocab.start[k + 1] - 1
-    base = np.where(low > 0, vocab.noise_sums[low - 1], 0)
-    draw = base[:, None] + rng.random((len(t), MEMBER_NOISE)) * (vocab.noise_sums[high] - base)[:, None]
-    wrong = np.clip(np.searchsorted(vocab.noise_sums, draw), low[:, None], high[:, None])
-    both = np.concatenate((right[:, None], wrong), axis=1)
-    r2, q1 = m["R2"][both], _one(qt)
-    e2 = (1 / (1 + np.exp(vocab.member_shift[both] - np.matmul(r2, q1[:, :, None])[:, :, 0]))).astype(np.float32)
-    e2[:, 0] -= 1
-    dq[t] += np.matmul(e2[:, None, :], r2)[:, 0, :DIM]
-    # what each input gets back from the next token, the one after it, and (by the mean) all later ones of its text
-    g = np.zeros((n, 3 * DIM), np.float32)
-    for back in (1, 2):
-        g[: n - back, (back - 1) * DIM : back * DIM] = np.where((pos[back:] >= back)[:, None], dq[back:], np.float32(0))
-    means = np.ascontiguousarray(dq.T) / np.maximum(pos, 1)
-    means[:, pos == 0] = 0
-    sums = np.zeros((DIM, n + 1), np.float64)
-    np.cumsum(means, axis=1, dtype=np.float64, out=sums[:, 1:])
-    end = np.append(start[1:], n)
-    g[:, 2 * DIM :] = (np.repeat(sums[:, end], end - start, axis=1) - sums[:, 1:]).T
-    for k, x in {"R": gr, "b": gb}.items():
+    qt = q1.take(t, axis=0)
+    both = np.concatenate((member[t][None], _draw(vocab, ids[t] - 1 - WORDS, rng)))
+    r2 = m["R2"].take(both, axis=0)
+    e2 = (1 / (1 + np.exp(vocab.member_shift[both] - np.einsum("jik,ik->ji", r2, qt)))).astype(np.float32)
+    e2[0] -= 1
+    dq[t] += np.einsum("ji,jik->ik", e2, r2)[:, :DIM]
+    for k, x in {"R": gr[:DIM].T, "b": gr[DIM]}.items():
         x = x / n
         acc[k] += x * x
         m[k] -= (RATE * x / np.sqrt(acc[k])).astype(np.float32)
-    _step(m, acc, "E", *_sums(inputs, g), n)
+    _step(m, acc, "E", *_input_sums(inputs, dq, pos, start), n)
     if len(t):
-        _step(m, acc, "R2", *_outer_sums(both, e2, q1), n)
+        _step(m, acc, "R2", *_outer_sums(both.T, e2.T, qt), n)
 
 
 def _batched(batches, vocab: Vocabulary):
@@ -342,31 +425,31 @@ def log_probs(m: dict, vocab: Vocabulary, ids: np.ndarray, member: np.ndarray, r
     cut = np.unique(ends[np.searchsorted(ends, np.append(np.arange(0, len(row), BATCH), len(row)))])  # whole texts, few at a time: their vectors stay in the cache
     for s, e in zip(cut[:-1], cut[1:], strict=True):
         q[s:e] = _context(m, inputs[s:e], row[s:e])[0]
-    rt = np.concatenate((m["R"].T, m["b"][None]))
+    rt = np.concatenate((m["R"], m["b"][:, None]), axis=1) * LOG2E
     q = _one(q)
     ones = np.ones(len(m["R"]), np.float32)
     out = np.empty(len(ids), np.float64)
     held = np.empty((SCORE_ROWS, len(m["R"])), np.float32)
     for s in range(0, len(ids), SCORE_ROWS):
         t = q[s : s + SCORE_ROWS]
-        x = np.matmul(t, rt, out=held[: len(t)])
+        x = np.matmul(t, rt.T, out=held[: len(t)])
         own = x[np.arange(len(x)), ids[s : s + SCORE_ROWS]].astype(np.float64)
-        np.exp(x, out=x)
-        out[s : s + SCORE_ROWS] = own - np.log(x @ ones)
+        np.exp2(x, out=x)
+        out[s : s + SCORE_ROWS] = own - np.log2(x @ ones)
     inside = np.flatnonzero(member >= 0)
-    inside = inside[np.argsort(ids[inside], kind="stable")]
+    inside = inside[_order(ids[inside])]
     cut = np.searchsorted(ids[inside], 1 + WORDS + np.arange(CLASSES + 1))
     for k in range(CLASSES):
         low, high = vocab.start[k], vocab.start[k + 1]
-        rt, ones = np.ascontiguousarray(m["R2"][low:high].T), np.ones(high - low, np.float32)
+        rt, ones = m["R2"][low:high] * LOG2E, np.ones(high - low, np.float32)
         rows = max(1, SCORE_ROWS * 384 // (high - low))  # holds memory down in large classes
         for s in range(cut[k], cut[k + 1], rows):
             t = inside[s : min(s + rows, cut[k + 1])]
-            x = q[t] @ rt
+            x = q.take(t, axis=0) @ rt.T
             own = x[np.arange(len(t)), member[t] - low].astype(np.float64)
-            np.exp(x, out=x)
-            out[t] += own - np.log(x @ ones)
-    return out / np.log(10)
+            np.exp2(x, out=x)
+            out[t] += own - np.log2(x @ ones)
+    return out * np.log10(2)
 
 
 def _scorer(m: dict, vocab: Vocabulary):
