@@ -151,13 +151,17 @@ def density_profile(points: DataFrame, axes: tuple[str, ...], bins: int, label:
 
 
 def local_extrema(df: DataFrame, grid: Grid, field: str, radius: int = 1, keys=()) -> DataFrame:
-    """Cells that hold the greatest (kind X) or the least (kind O) value of the cube of `radius` cells around them, with positions i L / N - L / 2 (p{axis})."""
+    """Cells that hold the greatest (kind X) or the least (kind O) value of the cube of `radius` cells around them, with positions i L / N - L / 2 (p{axis}).
+
+    A cell's own value travels with the values around it: computed a second time, a mean can differ in its last digit and equal neither end.
+    """
     cube = [s for s in itertools.product(range(-radius, radius + 1), repeat=len(grid.dims))]
-    sent = df.select(*keys, F.col(field).alias("_f"), F.explode(_moved(grid, cube)).alias("c")).select(*keys, "_f", "c.*")
-    around = sent.groupBy(*keys, *grid.axes).agg(F.max("_f").alias("_max"), F.min("_f").alias("_min"), F.count("*").alias("_n"))
-    d = df.join(around, [*keys, *grid.axes]).where(F.col("_max") > F.col("_min"))
-    kind = F.when(F.col(field) == F.col("_max"), "X").when(F.col(field) == F.col("_min"), "O")
-    d = d.select(*keys, *grid.axes, F.col(field).alias("value"), kind.alias("kind")).where("kind is not null")
+    home = F.struct(*(F.col(a).cast("int").alias(a) for a in grid.axes))
+    sent = df.select(*keys, F.col(field).alias("_f"), home.alias("_h"), F.explode(_moved(grid, cube)).alias("c")).select(*keys, "_f", "c.*", (F.col("_h") == F.col("c")).alias("_own"))
+    own = F.max(F.when(F.col("_own"), F.col("_f"))).alias("value")
+    d = sent.groupBy(*keys, *grid.axes).agg(F.max("_f").alias("_max"), F.min("_f").alias("_min"), own).where(F.col("_max") > F.col("_min"))
+    kind = F.when(F.col("value") == F.col("_max"), "X").when(F.col("value") == F.col("_min"), "O")
+    d = d.select(*keys, *grid.axes, "value", kind.alias("kind")).where("kind is not null")
     return d.select("*", *((F.col(a) * grid.spacing(i) - grid.side(i) / 2).alias(f"p{a}") for i, a in enumerate(grid.axes)))
 
 

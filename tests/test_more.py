@@ -166,3 +166,19 @@ def test_holes_are_filled_inside_a_border(spark):
     lat = spark.createDataFrame([(x, y) for x in range(9) for y in range(9)], "x int, y int")
     got = structures.fill_holes(spark.createDataFrame(ring, "x int, y int"), Grid((9, 9), 1.0, ("periodic", "neumann")), lat)
     assert {tuple(r) for r in got.collect()} == {(x, y) for x in range(2, 7) for y in range(2, 7)}
+
+
+def test_extrema_of_a_field_that_differs_when_computed_again(spark):
+    import random
+
+    f = np.random.default_rng(8).random((6, 5))
+    again = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()  # as a mean does by the order of its rows
+    d = lattice(spark, f).withColumn("f", again("f"))
+    for bcs in ("periodic", "neumann"):
+        got = {(r.x, r.y): r.kind for r in structures.local_extrema(d, Grid((6, 5), 1.0, bcs), "f").collect()}
+        want = {}
+        for x, y in itertools.product(range(6), range(5)):
+            near = [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            near = [f[a % 6, b % 5] for a, b in near if bcs == "periodic" or (0 <= a < 6 and 0 <= b < 5)]
+            want |= {(x, y): k for k, v in (("X", max(near)), ("O", min(near))) if f[x, y] == v}
+        assert got == want
