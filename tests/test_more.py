@@ -182,3 +182,9 @@ def test_extrema_of_a_field_that_differs_when_computed_again(spark):
             near = [f[a % 6, b % 5] for a, b in near if bcs == "periodic" or (0 <= a < 6 and 0 <= b < 5)]
             want |= {(x, y): k for k, v in (("X", max(near)), ("O", min(near))) if f[x, y] == v}
         assert got == want
+
+
+def test_density_profile_of_many_points_has_the_true_centre(spark):
+    d = spark.range(0, 2_000_000, 1, 1).select(F.lit(0).alias("label"), F.when(F.col("id") % 2 == 0, 0.1).otherwise(0.3).alias("x"), F.lit(0.7).alias("y"), F.lit(0.7).alias("z"))
+    got = structures.density_profile(d, ("x", "y", "z"), 8).collect()
+    assert sum(1 for r in got if not 0 <= r.bin < 8) == 0 and max(abs(r.r - 0.1) for r in got) < 1e-14
