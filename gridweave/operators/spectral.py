@@ -1,8 +1,8 @@
 """Fourier operators on lattices: a two-pass slab transform, then plain columns.
 
 Pass one transforms all axes but the first inside slabs of the first axis, pass two the first axis
-inside slabs of the second; every group is a slab of some snapshots, so its size is set by
-`slab` and `batches`, not by the lattice. Spectra, filters and projections are column expressions.
+inside slabs of the second. Slabs come sorted by snapshot and are transformed some at a time, so the memory is that of
+one slab or of `CHUNK` rows, whatever the number of snapshots. Spectra, filters and projections are column expressions.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from ..grid import Grid
 
-SLAB, BATCHES = 4, 8
+SLAB, CHUNK = 4, 1 << 15
 
 
-def _pass(df: DataFrame, grid: Grid, cols: list[str], axis: int, over: tuple[int, ...], inverse: bool, snap: str, slab: int, batches: int) -> DataFrame:
+def _pass(df: DataFrame, grid: Grid, cols: list[str], axis: int, over: tuple[int, ...], inverse: bool, snap: str, slab: int) -> DataFrame:
     axes, dims = grid.axes, grid.dims
     kind = dict(df.dtypes)[snap]
     schema = ", ".join([f"{snap} {kind}", *(f"{a} int" for a in axes), *(f"{c}_{p} double" for c in cols for p in ("re", "im"))])
@@ -43,11 +43,31 @@ def _pass(df: DataFrame, grid: Grid, cols: list[str], axis: int, over: tuple[int
             out[f"{c}_re"], out[f"{c}_im"] = pa.array(np.ascontiguousarray(v.real)), pa.array(np.ascontiguousarray(v.imag))
         return pa.table(out)
 
-    g = df.withColumn("_b", F.pmod(F.xxhash64(snap), F.lit(batches))).withColumn("_s", (F.col(axes[axis]) / slab).cast("int"))
-    return g.groupBy("_b", "_s").applyInArrow(run, schema)
+    def slabs(batches):
+        """Whole slabs of about CHUNK rows at a time; rows of one slab come in a row."""
+        held, n, most = [], 0, CHUNK
 
+        def cut_at(t: pa.Table, last: bool):
+            b, s = t.column("_b").to_numpy(), np.unique(t.column(snap).to_numpy(), return_inverse=True)[1]
+            end = len(s) if last else int(max(np.flatnonzero((b[1:] != b[:-1]) | (s[1:] != s[:-1])) + 1, default=0))
+            for x in np.unique(b[:end]):
+                yield from run(t.slice(0, end).filter(pa.array(b[:end] == x)).drop(["_b"])).to_batches()
+            return t.slice(end)
 
-def transform(df: DataFrame, grid: Grid, cols: tuple[str, ...], inverse: bool = False, snap: str = "snap", slab: int = SLAB, batches: int = BATCHES) -> DataFrame:
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                rest = yield from cut_at(pa.Table.from_batches(held).combine_chunks(), False)
+                held, n, most = rest.to_batches(), rest.num_rows, max(CHUNK, 2 * rest.num_rows)  # a larger slab waits until it is whole
+        if held:
+            yield from cut_at(pa.Table.from_batches(held).combine_chunks(), True)
+
+    d = df.withColumn("_b", (F.col(axes[axis]) / slab).cast("int"))
+    return d.repartition(snap, "_b").sortWithinPartitions(snap, "_b").mapInArrow(slabs, schema)
+
+
+def transform(df: DataFrame, grid: Grid, cols: tuple[str, ...], inverse: bool = False, snap: str = "snap", slab: int = SLAB) -> DataFrame:
     """Complex columns {c}_re, {c}_im (real columns c also do) -> their transform at the same positions.
 
     The forward transform divides by the number of cells. After it, x, y, z are frequency indices 0 .. N - 1
@@ -56,8 +76,8 @@ def transform(df: DataFrame, grid: Grid, cols: tuple[str, ...], inverse: bool =
     have = set(df.columns)
     d = df.select(snap, *(F.col(a).cast("int").alias(a) for a in grid.axes), *(x for c in cols for x in ((F.col(f"{c}_re"), F.col(f"{c}_im")) if f"{c}_re" in have else (F.col(c).cast("double").alias(f"{c}_re"), F.lit(0.0).alias(f"{c}_im")))))
     n = len(grid.dims)
-    d = _pass(d, grid, list(cols), 0, tuple(range(1, n)), inverse, snap, slab, batches)
-    return _pass(d, grid, list(cols), 1, (0,), inverse, snap, slab, batches)
+    d = _pass(d, grid, list(cols), 0, tuple(range(1, n)), inverse, snap, slab)
+    return _pass(d, grid, list(cols), 1, (0,), inverse, snap, slab)
 
 
 def wavenumber(grid: Grid, axis: int) -> Column:
@@ -182,7 +202,7 @@ def shell_filter_plane(df: DataFrame, grid: Grid, cols: tuple[str, ...], low: fl
 def _along(df: DataFrame, grid: Grid, cols: tuple[str, ...], axis: int, snap: str) -> DataFrame:
     """Transform along one axis only, in slabs of another; {c}_re, {c}_im in and out."""
     other = 1 if axis == 0 else 0
-    return _pass(df, grid, list(cols), other, (axis,), False, snap, SLAB, BATCHES)
+    return _pass(df, grid, list(cols), other, (axis,), False, snap, SLAB)
 
 
 def sheared_power(df: DataFrame, grid: Grid, cols: tuple[str, ...], shear: float, time: float, snap: str = "snap") -> DataFrame:

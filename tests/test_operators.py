@@ -51,6 +51,27 @@ def test_fft_parseval_and_helmholtz(spark):
     assert np.allclose(h[["irr0", "irr1", "irr2"]].to_numpy() + h[["sol0", "sol1", "sol2"]].to_numpy(), v.reshape(-1, 3))
 
 
+def test_fft_takes_few_snapshots_at_a_time(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    def small(v, **how):
+        if v.size > 2000:
+            raise MemoryError("too many cells at a time")
+        return np.fft.fftn(v, **how)
+
+    used = ("unique", "lexsort", "int64", "prod", "flatnonzero", "ascontiguousarray")
+    monkeypatch.setattr(spectral, "np", SimpleNamespace(fft=SimpleNamespace(fftn=small, ifftn=np.fft.ifftn), **{k: getattr(np, k) for k in used}))
+    monkeypatch.setattr(spectral, "CHUNK", 256, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        v = np.random.default_rng(9).normal(size=(2000, 6, 3))  # a slab of four rows and one of two
+        d = spark.createDataFrame([(s, x, y, float(f)) for (s, x, y), f in np.ndenumerate(v)], "snap long, x int, y int, f double").repartition(7)
+        t = spectral.transform(d, Grid((6, 3)), ("f",)).orderBy("snap", "x", "y").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose(t.f_re + 1j * t.f_im, np.fft.fftn(v, axes=(1, 2), norm="forward").ravel())
+
+
 def test_incomplete_lattice_raises(spark):
     d = spark.createDataFrame([(0, 0, 0, 1.0)], "snap long, x int, y int, f double")
     with pytest.raises(Exception, match="every cell"):
